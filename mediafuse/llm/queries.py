@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from mediafuse.llm import near_dups
+from mediafuse.llm import near_dups, packing, token_counts
 
 QUERIES = {
     "op2_near_dups": near_dups.query,
+    "op5_packing": packing.query,
+    "op9_token_counts": token_counts.query,
 }
 ORACLE_SQL: dict[str, str] = {}
