@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from mediafuse.llm import near_dups, packing, token_counts
+from mediafuse.llm import decontaminate, line_dedup, near_dups, packing, token_counts
 
 QUERIES = {
     "op2_near_dups": near_dups.query,
     "op5_packing": packing.query,
+    "op6_line_dedup": line_dedup.query,
+    "op7_decontaminate": decontaminate.query,
     "op9_token_counts": token_counts.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": line_dedup.SQL,
+}
