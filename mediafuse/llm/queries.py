@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from mediafuse.llm import decontaminate, line_dedup, near_dups, packing, token_counts
+from mediafuse.llm import decontaminate, license_scan, line_dedup, near_dups, packing, secret_scan, token_counts
 
 QUERIES = {
     "op2_near_dups": near_dups.query,
+    "op4_secret_scan": secret_scan.query,
     "op5_packing": packing.query,
     "op6_line_dedup": line_dedup.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_license_scan": license_scan.query,
     "op9_token_counts": token_counts.query,
 }
 ORACLE_SQL: dict[str, str] = {
