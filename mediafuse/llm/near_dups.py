@@ -3,11 +3,13 @@
 A permutation gives two signature values, the smallest and the largest image, so the hash evaluations
 are half of the signature's length; both agree with probability J for sets of Jaccard similarity J.
 
-Shape of the job: one map over the texts gives each document the identity of its set and its bands;
-documents of equal sets become one representative before anything is grouped; in every bucket the
-representatives are first compared with the smallest id only (a star). Buckets that still hold more
-than one group after that are compared member by member, and large ones are split beforehand by a
-second band. A 128-bit sketch removes hopeless pairs before the sets are fetched.
+Shape of the job: one map over the texts gives each document the identity of its set, its bands and a
+sketch of one bit of each signature value; documents of equal sets become one representative before
+anything is grouped. In the buckets of the first few bands the representatives are compared with the
+smallest id only (a star), which joins large groups of copies; the stars of all other bands then only
+take members that no link has joined yet. Buckets that still hold more than one group are compared
+member by member, each pair in the first band that it shares, and large buckets are split beforehand
+by a second band. The sketch removes hopeless pairs before any set is fetched.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediafuse.llm import wordhash as W
@@ -26,8 +28,10 @@ from mediafuse.operators.scratch import Scratch
 
 #: A pair of similarity 0.8 shares none of 64 bands of 7 values with probability (1 - 0.8**7)**64 = 3e-7.
 BANDS, ROWS = 64, 7
-#: Of 128 one-bit values a pair of similarity 0.8 differs in 12.8 on average with a deviation of 3.4; beyond 34 it is none.
-SKETCH_BITS, SKETCH_LIMIT = 128, 34
+#: Of the 448 bits of a sketch a pair of similarity 0.8 differs in 44.8 on average with a deviation of 6.4; beyond 75 it is none.
+SKETCH_LONGS, SKETCH_LIMIT = BANDS * ROWS // 64, 75
+#: Bands whose stars are compared first.
+FIRST_BANDS = 6
 #: A bucket of more representatives than this is split by a second band before its members are compared.
 LARGE_BUCKET = 256
 
@@ -39,8 +43,6 @@ def _seeds(n: int, stream: int) -> np.ndarray:
 _PERMS = (BANDS * ROWS + 1) // 2
 _MUL = (_seeds(_PERMS, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (_seeds(_PERMS, 12) >> np.uint64(32)).astype(np.uint32)
-_SK_MUL = (_seeds(SKETCH_BITS, 13) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_SK_ADD = (_seeds(SKETCH_BITS, 14) >> np.uint64(32)).astype(np.uint32)
 
 
 def minmax_signatures(shingles: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -54,7 +56,7 @@ def minmax_signatures(shingles: np.ndarray, bound: np.ndarray) -> np.ndarray:
         v ^= v >> np.uint32(15)
         out[k] = np.minimum.reduceat(v, bound[:-1])
         out[_PERMS + k] = np.maximum.reduceat(v, bound[:-1])
-    return out.T
+    return np.ascontiguousarray(out.T)
 
 
 def bands_of(signatures: np.ndarray) -> np.ndarray:
@@ -67,16 +69,10 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketches_of(shingles: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """(sets, 2) of int64: one bit of the minimum under each of 128 more permutations."""
-    x = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    out = np.zeros((len(bound) - 1, 2), dtype=np.uint64)
-    for k in range(SKETCH_BITS):
-        v = x * _SK_MUL[k] + _SK_ADD[k]
-        v ^= v >> np.uint32(15)
-        bit = (np.minimum.reduceat(v, bound[:-1]) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-        out[:, k // 64] |= bit.astype(np.uint64) << np.uint64(k % 64)
-    return out.view(np.int64)
+def sketches_of(signatures: np.ndarray) -> np.ndarray:
+    """(sets, SKETCH_LONGS) of int64: a scrambled bit of each signature value."""
+    bit = (signatures * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(bit.astype(np.uint8), axis=1).view(np.int64)
 
 
 def _list_column(flat: np.ndarray, bound: np.ndarray) -> pa.ListArray:
@@ -96,18 +92,19 @@ def _signed(k: int):
                 size = np.diff(b)
                 key = np.zeros((j - i, 2), dtype=np.uint64)
                 bands = np.zeros((j - i, BANDS), dtype=np.int64)
-                sketch = np.zeros((j - i, 2), dtype=np.int64)
+                sketch = np.zeros((j - i, SKETCH_LONGS), dtype=np.int64)
                 full = np.flatnonzero(size)
                 if len(full):
                     fb = np.concatenate([b[:-1][full], b[-1:]])
                     for c, m in enumerate((0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)):
                         key[full, c] = np.add.reduceat(W.mix(s * np.uint64(m)), fb[:-1])
-                    bands[full], sketch[full] = bands_of(minmax_signatures(s, fb)), sketches_of(s, fb)
+                    sig = minmax_signatures(s, fb)
+                    bands[full], sketch[full] = bands_of(sig), sketches_of(sig)
                 key = key.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(key[:, 0]), pa.array(key[:, 1]),
-                     pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), _list_column(bands.reshape(-1), np.arange(j - i + 1) * BANDS)],
-                    names=["id", "n", "k1", "k2", "s1", "s2", "bands"])
+                     _list_column(sketch.reshape(-1), np.arange(j - i + 1) * SKETCH_LONGS), _list_column(bands.reshape(-1), np.arange(j - i + 1) * BANDS)],
+                    names=["id", "n", "k1", "k2", "sketch", "bands"])
     return run
 
 
@@ -130,6 +127,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _of_two_groups(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs that no link joins so far."""
+    at = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    joined = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicate_groups(docs: DataFrame, scratch: Scratch, shingle_words: int = 5, percent: int = 80,
                           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of docs.
@@ -141,40 +145,45 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, shingle_words: int
     part in links and gives a null component.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.write(base.mapInArrow(_signed(shingle_words), "id long, n long, k1 long, k2 long, s1 long, s2 long, bands array<long>"), "signed")
+    signed = scratch.write(base.mapInArrow(_signed(shingle_words), "id long, n long, k1 long, k2 long, sketch array<long>, bands array<long>"), "signed")
     real = signed.where("n > 0 and id is not null")
     classes = scratch.write(real.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = scratch.write(
-        real.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "s1", "s2", "bands"), "reps")
-    info = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s1").alias(f"s1{x}"), F.col("s2").alias(f"s2{x}"))
-    alike = (
-        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        & (F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b"))) <= SKETCH_LIMIT))
+        real.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch", "bands"), "reps")
+    info = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}"))
+    differ = reduce(Column.__add__, (F.bit_count(F.get("sketcha", i).bitwiseXOR(F.get("sketchb", i))) for i in range(SKETCH_LONGS)))
+    alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= SKETCH_LIMIT)
 
-    banded = reps.select("id", F.explode("bands").alias("band"))
+    banded = reps.select("id", F.posexplode("bands").alias("i", "band"))
     buckets = scratch.write(banded.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1"), "buckets")
     member = scratch.write(banded.join(buckets, "band"), "members")
-    stars = scratch.write(member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    near = scratch.write(stars.join(info("a"), "a").join(info("b"), "b").where(alike).select("a", "b"), "near")
-    links = [scratch.write(_confirmed(near, base, shingle_words, percent, scratch), "links")]
-    parts = connected_components(links[0], scratch)
+    links: list[DataFrame] = []
+    parts = connected_components(reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), scratch)
+    for of_bands in (F.col("i") < FIRST_BANDS, F.col("i") >= FIRST_BANDS):
+        star = member.where(of_bands & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        if links:
+            star = _of_two_groups(star, parts)
+        star = scratch.write(star.distinct(), "stars")
+        near = scratch.write(star.join(info("a"), "a").join(info("b"), "b").where(alike).select("a", "b"), "near")
+        links.append(scratch.write(_confirmed(near, base, shingle_words, percent, scratch), "links"))
+        parts = connected_components(reduce(DataFrame.unionByName, links), scratch)
 
     # A bucket of two was compared in full. Larger ones are done when a single group is left in them.
     label = member.where("m > 2").join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", "m", F.coalesce("component", "id").alias("label"))
+        "band", "i", "id", "m", F.coalesce("component", "id").alias("label"))
     label = scratch.write(label, "labels")
     mixed = scratch.write(label.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "mixed")
-    rest = scratch.write(label.join(mixed, "band", "left_semi").join(
-        reps.select("id", "n", "s1", "s2"), "id"), "rest")
-    large = rest.where(F.col("m") > LARGE_BUCKET)
-    small = rest.where(F.col("m") <= LARGE_BUCKET).select(F.col("band").alias("bucket"), "id", "label", "n", "s1", "s2")
-    split = large.join(reps.select("id", "bands"), "id").select(
-        F.col("band"), "id", "label", "n", "s1", "s2", F.explode("bands").alias("second")).where("second <> band").select(
-        F.xxhash64("band", "second").alias("bucket"), "id", "label", "n", "s1", "s2")
+    rest = scratch.write(label.join(mixed, "band", "left_semi").join(reps, "id"), "rest")
+    fields = ("i", "id", "label", "n", "sketch", "bands")
+    small = rest.where(F.col("m") <= LARGE_BUCKET).select(F.col("band").alias("bucket"), F.lit(-1).alias("j"), *fields)
+    split = rest.where(F.col("m") > LARGE_BUCKET).select("band", *fields, F.posexplode("bands").alias("j", "second")).where("j <> i").select(
+        F.xxhash64("band", "second").alias("bucket"), "j", *fields)
     groups = scratch.write(small.unionByName(split), "groups")
-    side = lambda x: groups.select("bucket", *(F.col(c).alias(f"{c}{x}") for c in ("id", "label", "n", "s1", "s2")))
+    side = lambda x: groups.select("bucket", *(F.col(c).alias(f"{c}{x}") for c in ("j", *fields)))
+    shared = F.filter(F.transform(F.arrays_zip("bandsa", "bandsb"), lambda z, at: F.when(z.bandsa == z.bandsb, at)), lambda at: at.isNotNull())
+    first_place = (F.get(shared, 0) == F.col("ia")) & ((F.col("ja") < 0) | (F.get(shared, 1) == F.col("ja")))
     crossed = scratch.write(
-        side("a").join(side("b"), "bucket").where((F.col("ida") < F.col("idb")) & (F.col("labela") != F.col("labelb")) & alike)
+        side("a").join(side("b"), "bucket").where((F.col("ida") < F.col("idb")) & (F.col("labela") != F.col("labelb")) & alike & first_place)
         .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "crossed")
     if not crossed.isEmpty():
         links.append(scratch.write(_confirmed(crossed, base, shingle_words, percent, scratch), "links"))
