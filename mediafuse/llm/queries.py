@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mediafuse.llm import decontaminate, license_scan, line_dedup, near_dups, packing, secret_scan, token_counts
+from mediafuse.llm import decontaminate, language_id, license_scan, line_dedup, near_dups, packing, secret_scan, token_counts
 
 QUERIES = {
     "op2_near_dups": near_dups.query,
+    "op3_language_id": language_id.query,
     "op4_secret_scan": secret_scan.query,
     "op5_packing": packing.query,
     "op6_line_dedup": line_dedup.query,
