@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediafuse.llm import decontaminate, language_id, license_scan, line_dedup, near_dups, packing, secret_scan, token_counts
+from mediafuse.llm import decontaminate, language_id, license_scan, line_dedup, near_dups, nearest, packing, secret_scan, token_counts
 
 QUERIES = {
     "op2_near_dups": near_dups.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_license_scan": license_scan.query,
     "op9_token_counts": token_counts.query,
+    "op10_nearest": nearest.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.SQL,
