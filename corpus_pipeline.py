@@ -1,8 +1,67 @@
-"""The corpus pipeline: documents through the stages named in STAGES, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediafuse.llm import decontaminate, language_id, line_dedup, near_dups, packing
+from mediafuse.operators.scratch import Scratch
+
+#: Ids of dropped documents that are sent to all tasks at most (8 bytes each); more are joined by id.
+BROADCAST_IDS = 1_000_000
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language cannot be told (null text or no letter)."""
+    model = language_id.train(docs.where(~language_id.held_out()).select("text", "lang"))
+    return language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the boilerplate lines of each source; n_chars follows the text."""
+    freed = line_dedup.dedup_lines(docs, Scratch(spark, "pipeline-lines"))
+    return freed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near-duplicates (five words, 0.8)."""
+    scratch = Scratch(spark, "pipeline-near-dups")
+    gone = scratch.write(near_dups.near_duplicate_groups(docs, scratch).where("not kept and id is not null").select("id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id") == F.col("id"), "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, items, Scratch(spark, "pipeline-benchmark")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 ids."""
+    return packing.pack(docs, Scratch(spark, "pipeline-packing"), public_tokenizers.path(packing.TOKENIZER))
+
+
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("benchmark", benchmark),
+    ("packing", pack),
+]
+#: SQL cannot express the trained language model, MinHash groups and packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

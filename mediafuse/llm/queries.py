@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mediafuse.llm import decontaminate, language_id, license_scan, line_dedup, near_dups, nearest, packing, secret_scan, token_counts
+from mediafuse.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, near_dups, nearest, packing, secret_scan, token_counts
 
 QUERIES = {
+    "op1_html_extract": html_extract.query,
     "op2_near_dups": near_dups.query,
     "op3_language_id": language_id.query,
     "op4_secret_scan": secret_scan.query,
