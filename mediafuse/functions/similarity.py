@@ -44,11 +44,15 @@ def align(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-@pandas_udf("double")
-def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
+def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(align(a.fillna("").tolist(), b.fillna("").tolist()))
 
 
+def alignment_score(a: Column, b: Column) -> Column:
+    """Best local score of each row's pair; null counts as empty."""
+    return pandas_udf(_aligned, "double")(a, b)
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """Score over twice the longer stripped title; 0 if one is empty."""
     x, y = strip_title(a), strip_title(b)

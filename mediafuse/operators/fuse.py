@@ -54,8 +54,9 @@ def fuse_list(members: DataFrame, column: str, group: str | list[str] = "compone
     order = F.struct(*([F.when(F.col("_single"), 0.0).otherwise(-F.coalesce(F.col("_e.score"), F.lit(-1.0))).alias("a")] if by_score else []), F.col("_s"), F.col("_u"), F.col("_p"))
     rows = rows.withColumn("_o", order)
     if unique:
-        same = F.when(F.col("_single"), F.struct(F.col("_u"), F.col("_p").cast("string"))).otherwise(F.struct(F.lit(None).cast("string"), F.col(f"_e.{unique}").cast("string")))
-        rows = rows.groupBy(*groups, same.alias("_same")).agg(F.min_by(F.struct("_o", "_e"), "_o").alias("_r")).select(*groups, F.col("_r._o").alias("_o"), F.col("_r._e").alias("_e"))
+        place = F.when(F.col("_single"), F.col("_p")).alias("_place")
+        rows = rows.groupBy(*groups, place, F.col(f"_e.{unique}").alias("_same")).agg(F.min_by(F.struct("_o", "_e"), "_o").alias("_r")).select(
+            *groups, F.col("_r._o").alias("_o"), F.col("_r._e").alias("_e"))
     return rows.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_e"))), lambda r: r["_e"]).alias(column))
 
 
