@@ -114,5 +114,13 @@ def split_season_scoped(ident: Column) -> Column:
 
 
 def season_part(raw: Column, season: Column, provider: Column) -> Column:
-    """A provider's content id for one season: ``raw-season``; one provider (cr) scopes its ids itself."""
-    return F.when((provider == "cr") | season.isNull(), raw).otherwise(F.concat(raw, F.lit("-"), season.cast("string")))
+    """A provider's content id for one season, ``raw-season``; none for the provider (cr) that scopes ids its own way."""
+    return F.when(season.isNull(), raw).when(provider != "cr", F.concat(raw, F.lit("-"), season.cast("string")))
+
+
+def catalogue_node(ident: Column) -> Column:
+    """(object_id, season_object_id) of ``123-456``; the second is null for a node that is not scoped."""
+    form = "^([0-9]+)-([0-9]+)$"
+    yes = ident.rlike(form)
+    return F.struct(F.when(yes, F.regexp_extract(ident, form, 1)).otherwise(ident).alias("object_id"),
+                    F.when(yes, F.regexp_extract(ident, form, 2).cast("long")).alias("season_object_id"))

@@ -65,4 +65,4 @@ RETRYABLE = (408, 429, 502, 503, 504, 522, 524)
 
 def canonical_address(address: Column) -> Column:
     """A plugin's address without outer space, version and trailing slashes."""
-    return F.regexp_replace(F.regexp_replace(F.trim(address), "/+$", ""), "(?<=.)@[^@/]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(address), "/+$", ""), "@[0-9][^@/]*$", "")

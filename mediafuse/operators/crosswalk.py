@@ -21,7 +21,7 @@ def single_id(urls: Column, host: str, pattern: str) -> Column:
 
 
 def agreed_ids(databases: list[DataFrame], key: str = "mal", others: tuple[str, ...] = CATALOGUES[1:]) -> DataFrame:
-    """One row per key: each other id where the databases that have one agree, else null, and ``conflicts``.
+    """One row per key: each other id that some database has, and ``conflicts``, the columns on which they disagree.
 
     0 counts as absent. Combines map-side: two extremes of the values tell whether there are several.
     """
@@ -43,7 +43,8 @@ def clear_ambiguous(rows: DataFrame, columns: tuple[str, ...] = CATALOGUES[1:],
 
 
 def merge_ids(databases: list[DataFrame], key: str = "mal", others: tuple[str, ...] = CATALOGUES[1:]) -> DataFrame:
-    return clear_ambiguous(agreed_ids(databases, key, others).drop("conflicts"), others, key)
+    """The union of the databases: a key on which they disagree goes, then every id that several keys claim."""
+    return clear_ambiguous(agreed_ids(databases, key, others).where("conflicts = 0").drop("conflicts"), others, key)
 
 
 def delta_encode(rows: DataFrame, column: str = "mal", segment: Column | None = None) -> DataFrame:

@@ -14,8 +14,8 @@ def relevance(media: DataFrame, query: str | Column, titles: str = "titles", key
     """(key, relevance): the best search score over the titles; equal titles are aligned once."""
     q = F.lit(query) if isinstance(query, str) else query
     each = media.select(key, F.explode_outer(titles).alias("t")).select(key, F.col("t.title").alias("title"))
-    scored = each.select("title").distinct().withColumn("s", similarity.search_score(q, F.coalesce("title", F.lit(""))))
-    return each.join(scored, F.col("title").eqNullSafe(scored["title"])).groupBy(key).agg(F.max("s").alias("relevance"))
+    scored = each.select(F.coalesce("title", F.lit("")).alias("_t")).distinct().withColumn("s", similarity.search_score(q, F.col("_t")))
+    return each.join(scored, F.coalesce("title", F.lit("")) == F.col("_t")).groupBy(key).agg(F.max("s").alias("relevance"))
 
 
 def search_page(media: DataFrame, query: str, titles: str = "titles", key: str = "component", threshold: float = SEARCH_THRESHOLD) -> DataFrame:

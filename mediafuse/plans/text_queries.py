@@ -206,7 +206,7 @@ def title_similarity(spark, d):
     return rows.select("n", F.round(similarity.title_similarity(F.col("l"), F.col("r")), 6).alias("similarity"))
 
 
-@register("search_score", f"WITH RECURSIVE {alignment_sql(_PAIRS)} SELECT n, round(coalesce(least(1, s.score / (2 * length(p.a))), 0), 6) AS score FROM {_PAIRS} AS p LEFT JOIN scores s USING (a, b)")
+@register("search_score", f"WITH RECURSIVE {alignment_sql(_PAIRS)} SELECT n, round(CASE WHEN s.score IS NULL THEN 0 ELSE least(1, s.score / (2 * length(p.a))) END, 6) AS score FROM {_PAIRS} AS p LEFT JOIN scores s USING (a, b)")
 def search_score(spark, d):
     rows = spark.sql(values(PAIRS)).select("n", F.split_part("title", F.lit("|"), F.lit(1)).alias("l"), F.split_part("title", F.lit("|"), F.lit(2)).alias("r"))
     return rows.select("n", F.round(similarity.search_score(F.col("l"), F.col("r")), 6).alias("score"))
@@ -215,7 +215,7 @@ def search_score(spark, d):
 ADDRESSES = [" https://x.org/p/ ", "pkg@1.2.3", "pkg@latest/", "@scope/pkg", "@scope/pkg@2", "https://x.org/p@1//", "plain"]
 
 
-@register("plugin_link_canonical", rf"SELECT n, regexp_replace(regexp_replace(trim(address), '/+$', ''), '(.)@[^@/]+$', '\1') AS canonical FROM ({values(ADDRESSES, 'address')}) AS t")
+@register("plugin_link_canonical", rf"SELECT n, regexp_replace(regexp_replace(trim(address), '/+$', ''), '@[0-9][^@/]*$', '') AS canonical FROM ({values(ADDRESSES, 'address')}) AS t")
 def plugin_link_canonical(spark, d):
     return spark.sql(values(ADDRESSES, "address")).select("n", canonical_address(F.col("address")).alias("canonical"))
 
