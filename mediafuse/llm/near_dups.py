@@ -7,9 +7,9 @@ Shape of the job: one map over the texts gives each document the identity of its
 sketch of one bit of each signature value; documents of equal sets become one representative before
 anything is grouped. In the buckets of the first few bands the representatives are compared with the
 smallest id only (a star), which joins large groups of copies; the stars of all other bands then only
-take members that no link has joined yet. Buckets that still hold more than one group are compared
-member by member, each pair in the first band that it shares, and large buckets are split beforehand
-by a second band. The sketch removes hopeless pairs before any set is fetched.
+take members that no link has joined yet, and buckets that still hold more than one group get stars
+around other members. What is left is compared member by member; large buckets are split for that by
+a second band. The sketch removes hopeless pairs before any set is fetched.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ BANDS, ROWS = 64, 7
 SKETCH_LONGS, SKETCH_LIMIT = BANDS * ROWS // 64, 75
 #: Bands whose stars are compared first.
 FIRST_BANDS = 6
-#: A bucket of more representatives than this is split by a second band before its members are compared.
-LARGE_BUCKET = 256
+#: Rounds of stars around other members of buckets that hold several groups.
+STAR_ROUNDS = 3
+#: Before its members are compared, a bucket of more representatives is split by each of the next bands: a pair of
+#: similarity 0.8 has no two of its shared bands so near to each other with probability 4e-5.
+LARGE_BUCKET, NEXT_BANDS = 32, 16
 
 
 def _seeds(n: int, stream: int) -> np.ndarray:
@@ -121,10 +124,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     need = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "need")
     texts = docs.join(need, "id", "left_semi").select("id", "text").dropDuplicates(["id"])
     sets = scratch.write(texts.mapInArrow(_shingled(k), "id long, s array<long>"), "sets")
-    both = scratch.write(pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"), "half").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    half = scratch.write(pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"), "half")
+    both = half.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    links = scratch.write(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    scratch.drop(need, sets, half, pairs)
+    return links
 
 
 def _of_two_groups(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -150,48 +155,67 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, shingle_words: int
     classes = scratch.write(real.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = scratch.write(
         real.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch", "bands"), "reps")
+    slim = scratch.write(signed.select("id", "n", "k1", "k2"), "slim")
+    scratch.drop(signed)
     info = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}"))
     differ = reduce(Column.__add__, (F.bit_count(F.get("sketcha", i).bitwiseXOR(F.get("sketchb", i))) for i in range(SKETCH_LONGS)))
     alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= SKETCH_LIMIT)
+    links: list[DataFrame] = []
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Confirms pairs that are alike and gives the components of all links so far."""
+        pairs = scratch.write(pairs.distinct(), "pairs")
+        near = scratch.write(pairs.join(info("a"), "a").join(info("b"), "b").where(alike).select("a", "b"), "near")
+        scratch.drop(pairs)
+        links.append(_confirmed(near, base, shingle_words, percent, scratch))
+        return connected_components(reduce(DataFrame.unionByName, links), scratch)
+
+    def undecided(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """Rows (band, i, id, m) of the buckets that hold several groups, with the group as ``label``."""
+        named = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "i", "id", "m", F.coalesce("component", "id").alias("label"))
+        named = scratch.write(named, "labels")
+        mixed = scratch.write(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "mixed")
+        rest = scratch.write(named.join(mixed, "band", "left_semi"), "rest")
+        scratch.drop(named, mixed)
+        return rest
 
     banded = reps.select("id", F.posexplode("bands").alias("i", "band"))
     buckets = scratch.write(banded.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1"), "buckets")
     member = scratch.write(banded.join(buckets, "band"), "members")
-    links: list[DataFrame] = []
-    parts = connected_components(reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), scratch)
-    for of_bands in (F.col("i") < FIRST_BANDS, F.col("i") >= FIRST_BANDS):
-        star = member.where(of_bands & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        if links:
-            star = _of_two_groups(star, parts)
-        star = scratch.write(star.distinct(), "stars")
-        near = scratch.write(star.join(info("a"), "a").join(info("b"), "b").where(alike).select("a", "b"), "near")
-        links.append(scratch.write(_confirmed(near, base, shingle_words, percent, scratch), "links"))
-        parts = connected_components(reduce(DataFrame.unionByName, links), scratch)
+    scratch.drop(buckets)
+    star = lambda on: member.where(on & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    parts = linked(star(F.col("i") < FIRST_BANDS))
+    parts = linked(_of_two_groups(star(F.col("i") >= FIRST_BANDS), parts))
 
     # A bucket of two was compared in full. Larger ones are done when a single group is left in them.
-    label = member.where("m > 2").join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "i", "id", "m", F.coalesce("component", "id").alias("label"))
-    label = scratch.write(label, "labels")
-    mixed = scratch.write(label.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "mixed")
-    rest = scratch.write(label.join(mixed, "band", "left_semi").join(reps, "id"), "rest")
-    fields = ("i", "id", "label", "n", "sketch", "bands")
-    small = rest.where(F.col("m") <= LARGE_BUCKET).select(F.col("band").alias("bucket"), F.lit(-1).alias("j"), *fields)
-    split = rest.where(F.col("m") > LARGE_BUCKET).select("band", *fields, F.posexplode("bands").alias("j", "second")).where("j <> i").select(
-        F.xxhash64("band", "second").alias("bucket"), "j", *fields)
+    rest = undecided(member.where("m > 2"), parts)
+    scratch.drop(member)
+    for turn in range(STAR_ROUNDS):
+        if rest.isEmpty():
+            break
+        hubs = scratch.write(rest.groupBy("band").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("h")), "hubs")
+        pairs = rest.join(hubs, "band").where("label <> h.label").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
+        parts = linked(pairs)
+        last, rest = rest, undecided(rest.drop("label"), parts)
+        scratch.drop(last, hubs)
+
+    small = rest.where(F.col("m") <= LARGE_BUCKET).select(F.col("band").alias("bucket"), "id", "label")
+    seconds = F.transform(F.sequence(F.lit(1), F.lit(NEXT_BANDS)), lambda step: F.get("bands", (F.col("i") + step) % BANDS))
+    split = rest.where(F.col("m") > LARGE_BUCKET).join(reps.select("id", "bands"), "id").select("band", "id", "label", F.explode(seconds).alias("second")).select(
+        F.xxhash64("band", "second").alias("bucket"), "id", "label")
     groups = scratch.write(small.unionByName(split), "groups")
-    side = lambda x: groups.select("bucket", *(F.col(c).alias(f"{c}{x}") for c in ("j", *fields)))
-    shared = F.filter(F.transform(F.arrays_zip("bandsa", "bandsb"), lambda z, at: F.when(z.bandsa == z.bandsb, at)), lambda at: at.isNotNull())
-    first_place = (F.get(shared, 0) == F.col("ia")) & ((F.col("ja") < 0) | (F.get(shared, 1) == F.col("ja")))
-    crossed = scratch.write(
-        side("a").join(side("b"), "bucket").where((F.col("ida") < F.col("idb")) & (F.col("labela") != F.col("labelb")) & alike & first_place)
-        .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "crossed")
+    mixed = scratch.write(groups.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "mixed")
+    groups = scratch.write(groups.join(mixed, "bucket", "left_semi").join(reps.select("id", "n", "sketch"), "id"), "crossing")
+    side = lambda x: groups.select("bucket", *(F.col(c).alias(f"{c}{x}") for c in ("id", "label", "n", "sketch")))
+    crossed = side("a").join(side("b"), "bucket").where((F.col("ida") < F.col("idb")) & (F.col("labela") != F.col("labelb")) & alike)
+    crossed = scratch.write(crossed.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "crossed")
     if not crossed.isEmpty():
-        links.append(scratch.write(_confirmed(crossed, base, shingle_words, percent, scratch), "links"))
-        parts = connected_components(reduce(DataFrame.unionByName, links), scratch)
+        parts = linked(crossed)
 
     named = scratch.write(classes.join(parts, F.col("rep") == F.col("node"), "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component_id")), "named")
-    return signed.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
+    scratch.drop(reps, rest, groups, mixed, classes, crossed, *links)
+    return slim.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         "id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
