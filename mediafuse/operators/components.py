@@ -48,13 +48,30 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     for p in reversed(parents[:-1]):
         up = label.select(F.col("u").alias("p"), F.col("p").alias("root"))
         label = p.join(up, "p", "left").select("u", F.coalesce("root", "p").alias("p"))
-    label = scratch.write(label, "labels")
-    least = label.groupBy("p").agg(F.min("u").alias("lu")).select("p", F.least("lu", "p").alias("component"))
-    nodes = scratch.write(label.join(scratch.write(least, "roots"), "p").select(F.col("u").alias("node"), "component"), "nodes")
+    if len(parents) > 1:  # in the first round the order is the nodes' own
+        label = scratch.write(label, "labels")
+        least = label.groupBy("p").agg(F.min("u").alias("lu")).select("p", F.least("lu", "p").alias("component"))
+        label = label.join(least, "p").select("u", F.col("component").alias("p"))
+    nodes = scratch.write(label.select(F.col("u").alias("node"), F.col("p").alias("component")), "nodes")
     scratch.drop(label, *parents, now)
     return nodes
 
 
+def extended_components(parts: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of ``parts`` (a result of connected_components) with further edges (a, b).
+
+    Only the graph of the components that the new edges touch is contracted.
+    """
+    at = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    between = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = connected_components(between, scratch)
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = parts.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = scratch.write(old.unionByName(moved.join(parts, "node", "left_anti")), "parts")
+    scratch.drop(parts, moved)
+    return out
+
+
 def with_component(nodes: DataFrame, components: DataFrame, key: str | Column) -> DataFrame:
     """nodes with a column ``component``; a node without a link is its own component."""
     k = F.col(key) if isinstance(key, str) else key
