@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediafuse.llm import wordhash as W
-from mediafuse.operators.components import connected_components
+from mediafuse.operators.components import connected_components, extended_components
 from mediafuse.operators.scratch import Scratch
 
 #: A pair of similarity 0.8 shares none of 64 bands of 7 values with probability (1 - 0.8**7)**64 = 3e-7.
@@ -124,11 +124,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     need = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "need")
     texts = docs.join(need, "id", "left_semi").select("id", "text").dropDuplicates(["id"])
     sets = scratch.write(texts.mapInArrow(_shingled(k), "id long, s array<long>"), "sets")
-    half = scratch.write(pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"), "half")
-    both = half.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     links = scratch.write(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
-    scratch.drop(need, sets, half, pairs)
+    scratch.drop(need, sets, pairs)
     return links
 
 
@@ -160,15 +159,14 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, shingle_words: int
     info = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}"))
     differ = reduce(Column.__add__, (F.bit_count(F.get("sketcha", i).bitwiseXOR(F.get("sketchb", i))) for i in range(SKETCH_LONGS)))
     alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= SKETCH_LIMIT)
-    links: list[DataFrame] = []
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Confirms pairs that are alike and gives the components of all links so far."""
-        pairs = scratch.write(pairs.distinct(), "pairs")
-        near = scratch.write(pairs.join(info("a"), "a").join(info("b"), "b").where(alike).select("a", "b"), "near")
-        scratch.drop(pairs)
-        links.append(_confirmed(near, base, shingle_words, percent, scratch))
-        return connected_components(reduce(DataFrame.unionByName, links), scratch)
+    def linked(pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+        """Confirms pairs that are alike and gives the components of these links and of ``parts``."""
+        near = scratch.write(pairs.distinct().join(info("a"), "a").join(info("b"), "b").where(alike).select("a", "b"), "near")
+        links = _confirmed(near, base, shingle_words, percent, scratch)
+        out = connected_components(links, scratch) if parts is None else extended_components(parts, links, scratch)
+        scratch.drop(links)
+        return out
 
     def undecided(rows: DataFrame, parts: DataFrame) -> DataFrame:
         """Rows (band, i, id, m) of the buckets that hold several groups, with the group as ``label``."""
@@ -185,7 +183,7 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, shingle_words: int
     scratch.drop(buckets)
     star = lambda on: member.where(on & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     parts = linked(star(F.col("i") < FIRST_BANDS))
-    parts = linked(_of_two_groups(star(F.col("i") >= FIRST_BANDS), parts))
+    parts = linked(_of_two_groups(star(F.col("i") >= FIRST_BANDS), parts), parts)
 
     # A bucket of two was compared in full. Larger ones are done when a single group is left in them.
     rest = undecided(member.where("m > 2"), parts)
@@ -195,7 +193,7 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, shingle_words: int
             break
         hubs = scratch.write(rest.groupBy("band").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("h")), "hubs")
         pairs = rest.join(hubs, "band").where("label <> h.label").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
-        parts = linked(pairs)
+        parts = linked(pairs, parts)
         last, rest = rest, undecided(rest.drop("label"), parts)
         scratch.drop(last, hubs)
 
@@ -210,11 +208,11 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, shingle_words: int
     crossed = side("a").join(side("b"), "bucket").where((F.col("ida") < F.col("idb")) & (F.col("labela") != F.col("labelb")) & alike)
     crossed = scratch.write(crossed.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "crossed")
     if not crossed.isEmpty():
-        parts = linked(crossed)
+        parts = linked(crossed, parts)
 
     named = scratch.write(classes.join(parts, F.col("rep") == F.col("node"), "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component_id")), "named")
-    scratch.drop(reps, rest, groups, mixed, classes, crossed, *links)
+    scratch.drop(reps, rest, groups, mixed, classes, crossed)
     return slim.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         "id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
