@@ -1,8 +1,9 @@
 """Benchmark items inside documents: SimHash fingerprints of item-sized windows, a multi-index over
 their blocks, then the exact weighted-shingle similarity. DataFrame functions only.
 
-A window that reaches the similarity shares a shingle with its item, so fingerprints are made only of
-the windows that a shared shingle aligns with an item; this loses nothing that the last step would keep.
+A window has the item's number of words, or is the whole text where that is shorter. One that reaches the
+similarity holds a least number of the item's shingles, so fingerprints are made of all windows, wherever
+they start, that hold so many shingles of items of their size; this loses nothing that the last step would keep.
 Every 8-bit block of an item's fingerprint is indexed with all values one bit away, so that by the
 pigeonhole principle every window within RADIUS = 15 of 64 bits meets its item in one of the 8 blocks.
 """
@@ -50,6 +51,17 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, s: n + F.least(times(a, s), times(b, s)))
 
 
+def _starts(similarity: float, shingle: int) -> Column:
+    """All starts of windows of n words (of n_words, if fewer) with enough of the positions ``at`` for the similarity."""
+    size, width = F.least("n", F.lit(shingle)), F.least("n", "n_words")
+    # common / (a + b - common) >= similarity, where common is at most the number of positions in the window.
+    need = F.greatest(F.lit(1), F.ceil(similarity * (F.col("n") + width - 2 * size + 2) / (1 + similarity) - 1e-9).cast("int"))
+    last = lambda i: F.get("at", i + need - 1)
+    runs = F.filter(F.sequence(F.lit(0), F.size("at") - need), lambda i: last(i) - F.get("at", i) <= width - size)
+    starts = F.transform(runs, lambda i: F.sequence(F.greatest(F.lit(0), last(i) - width + size), F.least(F.get("at", i), F.col("n_words") - width)))
+    return F.when(F.size("at") >= need, F.array_distinct(F.flatten(starts)))
+
+
 def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -74,19 +86,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
     for k in sizes:
         own = items.where(F.col("k") == k).withColumn("shingles", _shingles(words, k))
         with_shingles.append(own)
-        keys = own.select("n", F.posexplode("shingles").alias("at", "s")).distinct()
-        found = base.select("doc_id", "k", _words(F.col("text")).alias("words")).select("doc_id", "k", F.posexplode(_shingles(words, k)).alias("pos", "s"))
-        parts.append(found.join(_sent(scratch.write(keys, "keys")), "s").select("doc_id", "k", (F.col("pos") - F.col("at")).alias("start"), "n"))
+        keys = own.select("n", F.explode("shingles").alias("s")).distinct()
+        found = base.select("doc_id", "k", _words(F.col("text")).alias("words")).select("doc_id", "k", F.size("words").alias("n_words"), F.posexplode(_shingles(words, k)).alias("pos", "s"))
+        parts.append(found.join(_sent(scratch.write(keys, "keys")), "s").select("doc_id", "k", "n_words", "n", "pos"))
     if not sizes:
         return scratch.write(base.select("doc_id", "k", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word")).limit(0), "none")
-    aligned = scratch.write(reduce(DataFrame.unionByName, parts).where("start >= 0").distinct(), "aligned")
+    hits = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "k", "n_words", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    placed = scratch.write(hits.select("doc_id", "k", "n", F.explode(_starts(similarity, shingle)).alias("start")), "placed")
 
-    starts = aligned.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "n")).alias("windows")).select(
+    starts = placed.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "n")).alias("windows")).select(
         F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "windows")
     held = base.join(_sent(scratch.write(starts, "starts")), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(
         "doc_id", "k", _words(F.col("text")).alias("words"), "windows").select("doc_id", "k", "words", F.explode("windows").alias("w")).select(
-        "doc_id", "k", F.col("w.start").alias("start"), F.col("w.n").alias("n"), F.expr("slice(words, w.start + 1, w.n)").alias("words")).where(
-        F.size("words") == F.col("n"))
+        "doc_id", "k", F.col("w.start").alias("start"), F.col("w.n").alias("n"), F.expr("slice(words, w.start + 1, w.n)").alias("words"))
     windows = scratch.write(held.withColumn("fp", fingerprint(words)), "windows")
 
     index = items.select("item_id", "n", F.col("k").alias("size"), F.col("words").alias("item"), F.col("fp").alias("item_fp"), F.explode(F.array(*(

@@ -210,6 +210,27 @@ def test_contaminated_documents_equal_brute_force(spark, scratch):
     assert decontaminate.contaminated(docs, bench.limit(0), scratch).count() == 0 and decontaminate.contaminated(empty(spark), bench, scratch).count() == 0
 
 
+def test_items_cut_at_a_documents_edge_or_rearranged_equal_brute_force(spark, scratch):
+    items = {1: words(38, 171, 5000), 2: words(60, 172, 5000)}
+    rest = words(90, 173, 5000)
+    rows = [[*x[c:], *rest] for x in items.values() for c in (1, 2, 3, 8)] + [[*rest, *x[: len(x) - c]] for x in items.values() for c in (1, 2, 3, 8)]
+    rows += [x[a : len(x) - b] for x in items.values() for a, b in ((1, 0), (0, 2), (1, 1), (9, 0))]
+    rows += [[*rest, *x[30:], *x[:30], *rest] for x in items.values()]
+    texts, want = [" ".join(r) for r in rows], {}
+    for d, r in enumerate(rows):
+        for i, x in items.items():
+            b = Counter(zip(*(x[j:] for j in range(5))))
+            for s in range(max(1, len(r) - len(x) + 1)):
+                a = Counter(zip(*(r[s : s + len(x)][j:] for j in range(5))))
+                n = sum((a & b).values())
+                if (got := n / (sum(a.values()) + sum(b.values()) - n)) >= 0.8:
+                    want[d, i] = max(got, want.get((d, i), 0.0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, bench, scratch).collect()}
+    assert len(want) >= 16 and got == pytest.approx(want)
+
+
 def test_index_meets_every_fingerprint_within_the_radius():
     r = np.random.default_rng(0)
     for _ in range(300):
