@@ -4,7 +4,8 @@ Each table turns a unit vector by three rounds of random signs and a Hadamard tr
 signed axis nearest to the result. A query probes the PROBES nearest axes of each of TABLES tables, and
 what it meets there is ranked by the exact inner product. Buckets and their queries are dealt out in
 blocks of bounded size, so a bucket that holds a third of all vectors is the work of many tasks. Blocks
-return their best rows per query, which then meet by query.
+return their best rows per query, which then meet by query. Vectors are hashed by direction, whatever
+their norms; queries that find too few rows meet all vectors of their length.
 """
 
 from __future__ import annotations
@@ -52,12 +53,8 @@ def axes(y: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(both, axis=1, kind="stable")[:, : min(k, both.shape[1])]
 
 
-def _coded(limit: float, flat: bool):
-    """Rows (is_query, table, code, dim, id, v) of a batch of (id, v): one per table, and for queries one per probe.
-
-    limit: the largest norm. Unless all vectors have it (flat), a vector gets one more coordinate that
-    brings it to this norm and a query gets a zero, so that the order by angle is that by inner product.
-    """
+def _coded():
+    """Rows (is_query, table, code, dim, id, v) of a batch of (id, v): one per table, and for queries one per probe."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lists = batch.column("id").to_numpy(), batch.column("v")
@@ -71,11 +68,7 @@ def _coded(limit: float, flat: bool):
                     rows = np.flatnonzero(query[at]) if asks else np.arange(len(at))
                     if not len(rows):
                         continue
-                    u = x[rows]
-                    if not flat:
-                        rest = np.zeros(len(u)) if asks else np.sqrt(np.maximum(0, limit**2 - (u**2).sum(axis=1)))
-                        u = np.concatenate([u, rest[:, None]], axis=1)
-                    for table, y in enumerate(rotations(u)):
+                    for table, y in enumerate(rotations(x[rows])):
                         code = axes(y, PROBES if asks else 1)
                         who = np.repeat(rows, code.shape[1])
                         n = len(who)
@@ -108,6 +101,21 @@ def _ranked(k: int):
     return run
 
 
+def _met(coded: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k rows of each query in each block of a bucket that it meets."""
+    # At most tables * axes rows for each length of vectors.
+    bucket = ["table", "code", "dim"]
+    vectors = coded.where("not is_query").groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("nv"))
+    asking = coded.where("is_query").groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("nq"))
+    blocks = scratch.write(vectors.join(asking, bucket), "blocks")
+    dealt = coded.join(F.broadcast(blocks), bucket)
+    part = F.xxhash64("id", F.lit(1))
+    both = dealt.select("is_query", *bucket, "id", "v", F.explode(F.when(
+        F.col("is_query"), F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda i: F.struct(i.alias("a"), F.pmod(part, F.col("nq")).cast("int").alias("b")))
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda i: F.struct(F.pmod(part, F.col("nv")).cast("int").alias("a"), i.alias("b"))))).alias("block"))
+    return both.groupBy(*bucket, "block").applyInArrow(_ranked(k), "query_id long, vec_id long, score double")
+
+
 def nearest(vectors: DataFrame, scratch: Scratch, queries, k: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``queries`` holds, the k others of largest inner product found.
 
@@ -118,20 +126,18 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries, k: int = NEAREST, id_
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    norms = rows.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("n")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
-    limit = norms["hi"] or 1.0
-    flat = (norms["lo"] or 1.0) >= limit * (1 - 1e-5)
-    coded = scratch.write(rows.mapInArrow(_coded(limit, flat), "is_query boolean, table int, code int, dim int, id long, v array<double>"), "coded")
-
-    # At most tables * axes rows for each length of vectors.
-    sizes = scratch.write(coded.groupBy("table", "code", "dim").agg(F.count_if(~F.col("is_query")).alias("vectors"), F.count_if("is_query").alias("asking")), "sizes")
-    blocks = sizes.select("table", "code", "dim", F.ceil(F.col("vectors") / BLOCK_VECTORS).cast("int").alias("nv"), F.ceil(F.col("asking") / BLOCK_QUERIES).cast("int").alias("nq"))
-    dealt = coded.join(F.broadcast(blocks), ["table", "code", "dim"]).where("nv > 0 and nq > 0")
-    part = F.xxhash64("id", F.lit(1))
-    both = dealt.select("is_query", "table", "code", "dim", "id", "v", F.explode(F.when(
-        F.col("is_query"), F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda i: F.struct(i.alias("a"), F.pmod(part, F.col("nq")).cast("int").alias("b")))
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda i: F.struct(F.pmod(part, F.col("nv")).cast("int").alias("a"), i.alias("b"))))).alias("block"))
-    found = scratch.write(both.groupBy("table", "code", "dim", "block").applyInArrow(_ranked(k), "query_id long, vec_id long, score double"), "found")
+    coded = scratch.write(rows.mapInArrow(_coded(), "is_query boolean, table int, code int, dim int, id long, v array<double>"), "coded")
+
+    found = scratch.write(_met(coded, scratch, k), "found")
+
+    # Queries with fewer than k rows: their exact rows, from all vectors of their length.
+    enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    one = [F.lit(0).alias(c) for c in ("table", "code")] + [F.size("v").alias("dim"), "id", "v"]
+    short = scratch.write(rows.where("is_query").join(enough, "id", "left_anti").select(F.lit(True).alias("is_query"), *one), "short")
+    if not short.isEmpty():
+        everyone = rows.select(F.lit(False).alias("is_query"), *one).join(F.broadcast(short.select("dim").distinct()), "dim", "left_semi")
+        exact = _met(scratch.write(short.unionByName(everyone), "exact"), scratch, k)
+        found = found.unionByName(scratch.write(exact, "found-exact"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return best.withColumn("rank", top).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

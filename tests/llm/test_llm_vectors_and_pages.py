@@ -40,6 +40,23 @@ def test_recall_order_and_ties(spark, scratch, scaled, monkeypatch):
     assert np.allclose(got.score, [x[q].astype(float) @ x[v].astype(float) for q, v in zip(got.query_id, got.vec_id)], atol=1e-12)
 
 
+def test_unequal_norms_and_few_vectors_keep_recall(spark, scratch):
+    r = np.random.default_rng(7)
+    x = r.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one_long, spread = x.copy(), x * r.lognormal(0, 0.5, (1500, 1))
+    one_long[7] *= 100
+    for v, least in ((one_long, 0.9), (spread, 0.9), (r.standard_normal((15, 64)), 1.0)):
+        ids = np.arange(len(v))
+        df = spark.createDataFrame([(int(i), w.tolist()) for i, w in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+        found = {}
+        for row in nearest.nearest(df, scratch, F.col("vec_id") % 20 == 0).collect():
+            found.setdefault(row.query_id, set()).add(row.vec_id)
+        want = brute(ids, v, 20)
+        assert {q: len(f) for q, f in found.items()} == {q: len(w) for q, w in want.items()}
+        assert sum(len(found[q] & set(w)) for q, w in want.items()) >= least * sum(map(len, want.values()))
+
+
 def test_vectors_that_take_no_part(spark, scratch):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, []), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0])]
