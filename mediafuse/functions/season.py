@@ -21,13 +21,13 @@ PATTERNS = (
 
 
 def cjk_number(x: Column) -> Column:
-    """Digits, or Chinese digits with 十 as a multiplier of ten; null for 0 and other letters."""
-    digit = lambda c: F.when(c == "零", 0).when(F.instr(F.lit(_CJK), c) > 0, F.instr(F.lit(_CJK), c) - 1)
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("now"), F.lit(True).alias("ok"))
-    step = lambda s, c: F.when(c == "十", F.struct((s.total + F.greatest(s.now, F.lit(1)) * 10).alias("total"), F.lit(0).alias("now"), s.ok.alias("ok"))).otherwise(
-        F.struct(s.total.alias("total"), F.coalesce(digit(c), F.lit(0)).alias("now"), (s.ok & digit(c).isNotNull()).alias("ok")))
-    letters = F.aggregate(F.split(x, ""), start, step, lambda s: F.when(s.ok & (s.total + s.now > 0), s.total + s.now))
-    return F.when(x.rlike("^[0-9]+$"), F.when(x.try_cast("int") > 0, x.try_cast("int"))).otherwise(letters)
+    """Digits, or Chinese digits around tens (十, one ten where no digit stands before it); null for 0 and other letters."""
+    unit = lambda part: F.greatest(F.instr(F.lit(_CJK), F.right(F.translate(part, "零", "〇"), F.lit(1))) - 1, F.lit(0))
+    around = F.split(x, "十", -1)
+    tens = F.transform(F.slice(around, F.lit(1), F.size(around) - 1), lambda part: 10 * F.greatest(unit(part), F.lit(1)))
+    written = F.aggregate(tens, unit(F.element_at(around, -1)), lambda n, ten: n + ten)
+    number = F.when(x.rlike("^[0-9]+$"), x.try_cast("int")).when(x.rlike(f"^[十零{_CJK}]+$"), written)
+    return F.when(number > 0, number)
 
 
 def parse_season_number(t: Column) -> Column:

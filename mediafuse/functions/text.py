@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,24 +12,24 @@ from pyspark.sql import functions as F
 START, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _SPACES = r"(?U)\s+"
 #: Dashes and tildes that set off a decorated subtitle. Fixed values.
-DASHES = "\\-\u2013\u2014~\uff5e\u301c"
+TITLE_DASHES = "\\-\u2013\u2014~\uff5e\u301c"
 #: Named references that catalogues use. Fixed values.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#039;": "'", "&nbsp;": " ", "&hellip;": "…", "&mdash;": "—",
             "&ndash;": "–", "&copy;": "©", "&middot;": "·", "&eacute;": "é", "&amp;": "&"}
 
 
-def squash(t: Column) -> Column:
+def single_spaced(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, _SPACES, " "), "^ | $", "")
 
 
 def strip_title(t: Column) -> Column:
     """Lower case, letters, digits and single spaces only."""
-    return squash(F.regexp_replace(F.lower(t), r"(?U)[^\p{L}\p{N}\s]", ""))
+    return single_spaced(F.regexp_replace(F.lower(t), r"(?U)[^\p{L}\p{N}\s]", ""))
 
 
 def normalize_title(t: Column) -> Column:
     """strip_title without the English articles."""
-    return squash(F.regexp_replace(strip_title(t), f"{START}(?:the|an?){END}", " "))
+    return single_spaced(F.regexp_replace(strip_title(t), f"{START}(?:the|an?){END}", " "))
 
 
 def has_letter(t: Column) -> Column:
@@ -47,37 +48,25 @@ def differ_only_by_trailing_number(a: Column, b: Column) -> Column:
     return (x.stem == y.stem) & ~x.value.eqNullSafe(y.value)
 
 
+#: How titles spell a season, a part or a cour. Fixed values.
 _ORDINALS = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth"
-_MARKERS = (
-    rf"(?i)(?U:\s*){START}(?:(?:season|part|cour)\s*[0-9]{{1,3}}|[0-9]{{1,3}}(?:st|nd|rd|th)\s+(?:season|part|cour)|(?:{_ORDINALS})\s+(?:season|part|cour)){END}",
-    r"(?U:\s*)(?:シーズン(?U:\s*)[0-9]{1,3}|第(?U:\s*)[0-9〇零一二三四五六七八九十]{1,4}(?U:\s*)[期季])",
+_SEASONS = "|".join((
+    rf"(?i:{START}(?:(?:season|part|cour)\s*[0-9]{{1,3}}|[0-9]{{1,3}}(?:st|nd|rd|th)\s+(?:season|part|cour)|(?:{_ORDINALS})\s+(?:season|part|cour)){END})",
+    r"シーズン(?U:\s*)[0-9]{1,3}", r"第(?U:\s*)[0-9〇零一二三四五六七八九十]{1,4}(?U:\s*)[期季]"))
+#: What a catalogue may leave out of a title, and what then stands in its place, in the order in which it is left out.
+SHORTENINGS = (
+    (rf"(?:^|(?U:\s))([{TITLE_DASHES}])(?U:\s*)[^{TITLE_DASHES}]{{2,}}(?U:\s*)\1(?U:\s*)$", ""),
+    (rf"(?U:\s*)(?:{_SEASONS})", " "),
+    (rf"(?i){START}(?:the|an?){END}", " "),
+    (r"(?s)^([^:]{3,}):.*$", "$1"),
 )
-
-
-def _without_suffix(t: Column) -> Column:
-    form = rf"(?:^|(?U:\s))([{DASHES}])(?U:\s*)[^{DASHES}]{{2,}}(?U:\s*)\1(?U:\s*)$"
-    return F.when(t.rlike(form), squash(F.regexp_replace(t, form, ""))).otherwise(t)
-
-
-def _without_season(t: Column) -> Column:
-    return squash(reduce(lambda x, m: F.regexp_replace(x, m, " "), _MARKERS, t))
-
-
-def _without_articles(t: Column) -> Column:
-    return squash(F.regexp_replace(t, f"(?i){START}(?:the|an?){END}", " "))
-
-
-def _before_colon(t: Column) -> Column:
-    return F.when(F.instr(t, ":") > 3, squash(F.substring_index(t, ":", 1))).otherwise(t)
+LEAST_LETTERS = 3
 
 
 def simplify_title(t: Column) -> Column:
-    """Shorter queries for a title, most specific first; steps build on each other, each new one of 3 letters or more."""
-    rungs, now = [], t
-    for step in (_without_suffix, _without_season, _without_articles, _before_colon):
-        now = step(now)
-        rungs.append(now)
-    return F.filter(F.array_distinct(F.array(*rungs)), lambda r: (F.length(r) >= 3) & (r != t))
+    """Shorter queries for a title, most specific first: each leaves out one thing more, and each is a new one of 3 letters or more."""
+    shorter = accumulate(SHORTENINGS, lambda now, rule: single_spaced(F.regexp_replace(now, *map(F.lit, rule))), initial=t)
+    return F.filter(F.array_except(F.array(*shorter), F.array(t)), lambda q: F.length(q) >= LEAST_LETTERS)
 
 
 def strip_tags(t: Column) -> Column:
@@ -95,7 +84,7 @@ def decode_entities(t: Column) -> Column:
 
 def clean_text(t: Column) -> Column:
     """Markup out, references decoded, spaces squeezed; null if nothing is left."""
-    return F.nullif(squash(decode_entities(strip_tags(t))), F.lit(""))
+    return F.nullif(single_spaced(decode_entities(strip_tags(t))), F.lit(""))
 
 
 def number(t: Column) -> Column:

@@ -18,29 +18,39 @@ def sections(page: Column, heading: str) -> Column:
     return F.when(page.rlike(heading), F.filter(named, lambda p: p.body.rlike(f"^{heading}"))).otherwise(F.array(F.struct(F.lit("").alias("section"), page.alias("body"))))
 
 
-def cards(pages: DataFrame, key: str, page: str, card: str, id_pattern: str, fields: dict[str, Column | str], heading: str) -> DataFrame:
+def cards(pages: DataFrame, key: str, page: str, card: str, ident: Column | str, fields: dict[str, Column | str], heading: str, required: tuple[str, ...] = ()) -> DataFrame:
     """One row per card and first place of its id: key, section, id and the fields.
 
-    card: expression before which the page is split. fields: a pattern with one group each, or a Column
-    over ``body``. Cards without an id are left out.
+    card: expression at which a card begins; what stands before the first is none. ident and fields: a pattern
+    with one group each, or a Column over ``body``. Cards without an id or a required field are left out.
     """
-    each = pages.select(key, F.posexplode(sections(F.col(page), heading)).alias("_s", "p")).select(key, "_s", "p.section", F.posexplode(F.split("p.body", rf"(?={card})", -1)).alias("_c", "body"))
-    rows = each.select(key, "section", "_s", "_c", F.regexp_extract("body", id_pattern, 1).alias("id"), *(
-        (text.clean_text(F.regexp_extract("body", f, 1)) if isinstance(f, str) else f).alias(n) for n, f in fields.items())).where("id <> ''")
+    value = lambda f: text.clean_text(F.regexp_extract("body", f, 1)) if isinstance(f, str) else f
+    each = pages.select(key, F.posexplode(sections(F.col(page), heading)).alias("_s", "p")).select(
+        key, "_s", "p.section", F.posexplode(F.split("p.body", rf"(?={card})", -1)).alias("_c", "body")).where(F.col("body").rlike(rf"^(?:{card})"))
+    rows = each.select(key, "section", "_s", "_c", value(ident).alias("id"), *(value(f).alias(n) for n, f in fields.items()))
+    for c in ("id", *required):
+        rows = rows.where(F.col(c).isNotNull())
     first = F.row_number().over(Window.partitionBy(key, "id").orderBy("_s", "_c"))
     return rows.withColumn("_r", first).where("_r = 1").drop("_r", "_s", "_c")
 
 
+#: Markup of a seasonal grid's page: where headings and cards begin, and what holds each field of a card. Fixed values.
+GRID_HEADING, GRID_CARD = 'class="anime-header">([^<]*)<', "js-anime-category-producer"
+GRID_IDS = (r"myanimelist\.net/anime/([0-9]+)", r'class="genres js-genre" id="([0-9]+)"')
+GRID_COVERS = tuple(rf'<img[^>]*\b{a}="(https://cdn\.myanimelist\.net/images/anime/[^"]+)"' for a in ("data-src", "src"))
+GRID_TEXTS = {"title": 'class="link-title">([^<]+)<', "english_title": 'class="h3_anime_subtitle">([^<]*)<', "synopsis": r'(?s)class="preline">(.*?)</p>'}
+GRID_NUMBERS = {"score": ('class="js-score">([0-9.]+)<', "double"), "members": ('class="js-members">([0-9,]+)<', "long"),
+                "episodes": (r"<span>\s*([0-9]+)\s*eps?\s*</span>", "long"), "type_id": ("js-anime-type-([0-9]+)", "int")}
+GRID_START = 'class="js-start_date">([0-9]+)<'
+
+
 def season_cards(pages: DataFrame, key: str, page: str) -> DataFrame:
-    """Entries of a seasonal grid: id, titles, cover, synopsis, score, members, episodes, start date, type and section."""
-    body = F.col("body")
-    part = lambda p: F.regexp_extract(body, p, 1)
-    return cards(pages, key, page, "js-anime-category-producer", r"/anime/([0-9]+)", {
-        "title": r'(?s)class="link-title"[^>]*>(.*?)</a>', "english_title": r'(?s)<h3[^>]*class="[^"]*english[^"]*"[^>]*>(.*?)</h3>',
-        "cover": F.nullif(part(r'(?:data-src|src)="([^"]+[.](?:jpg|webp)[^"]*)"'), F.lit("")), "synopsis": r'(?s)class="preline"[^>]*>(.*?)</p>',
-        "score": text.number(part('class="js-score">([^<]*)<')), "members": text.number(part('class="js-members">([^<]*)<')).cast("long"),
-        "episodes": text.number(part("([0-9,]+) eps")).cast("long"), "start_date": season.compact_date(part('class="js-start_date">([0-9]+)<')),
-        "type_id": part("js-anime-type-([0-9]+)").try_cast("int")}, heading='class="anime-header">([^<]*)<')
+    """Entries of a seasonal grid: id, titles, synopsis, cover, score, members, episodes, type, start date and section. Cards without a title are none."""
+    found = lambda p: F.nullif(F.regexp_extract("body", p, 1), F.lit(""))
+    first = lambda patterns: F.coalesce(*map(found, patterns))
+    numbers = {n: text.number(found(p)).cast(kind) for n, (p, kind) in GRID_NUMBERS.items()}
+    return cards(pages, key, page, GRID_CARD, first(GRID_IDS), {**GRID_TEXTS, "cover": first(GRID_COVERS), **numbers, "start_date": season.compact_date(found(GRID_START))},
+                 heading=GRID_HEADING, required=("title",))
 
 
 #: Section of shows that were carried over from an earlier season. Fixed value.

@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 PACKAGES = {"cru": "cr", "nfx": "nf", "dnp": "disney", "amp": "amazon", "atp": "appletv", "hlu": "hulu", "hbm": "hbo", "pcp": "peacock", "pmp": "paramount", "fuv": "fubo"}
 #: Parts of host names and the origins they stand for. Fixed values.
 HOSTS = [(r"crunchyroll\.com", "cr"), (r"netflix\.com", "nf"), (r"hulu\.com", "hulu"), (r"disneyplus\.com", "disney"), (r"(primevideo|amazon)\.", "amazon"), (r"(hbomax|max)\.com", "hbo")]
+#: Where urls carry a content id: host and place in the path; the first that fits counts. Fixed values.
+CONTENT_IDS = [
+    (r"^(netflix|paramountplus)\.com$", "^/+[^/]+/+([^/]+)"),
+    (r"^crunchyroll\.com$", "^/+series/+([^/]+)"),
+    (r"^(amazon\.|peacocktv\.com$)", "([^/]+)/*$"),
+    (r"^hulu\.com$", "(?i)([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})/*$"),
+    (r"^hulu\.com$", "([^/]+)/*$"),
+    (r"^(disneyplus|tv\.apple)\.com$", "^/+[^/]+/+[^/]+/+([^/]+)"),
+]
 #: Offers that count. Fixed values.
 OFFERS = ("FLATRATE", "FLATRATE_AND_BUY", "FREE", "ADS")
 
@@ -31,14 +40,14 @@ def package_origin(code: Column) -> Column:
 
 def content_id(url: Column) -> Column:
     """The id in a provider's own space, null where its urls carry none."""
-    host, parts = host_of(url), path_parts(url)
-    last = F.try_element_at(parts, F.lit(-1))
-    uuid = F.regexp_extract(last, "(?i)([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})$", 1)
-    return (F.when(host.isin("netflix.com", "paramountplus.com"), F.get(parts, 1))
-            .when((host == "crunchyroll.com") & (F.get(parts, 0) == "series"), F.get(parts, 1))
-            .when(host.startswith("amazon.") | (host == "peacocktv.com"), last)
-            .when(host == "hulu.com", F.when(uuid != "", uuid).otherwise(last))
-            .when(host.isin("disneyplus.com", "tv.apple.com"), F.get(parts, 2)))
+    host, path = host_of(url), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    return F.coalesce(*(F.when(host.rlike(h), F.nullif(F.regexp_extract(path, p, 1), F.lit(""))) for h, p in CONTENT_IDS))
+
+
+def episode_content_id(url: Column) -> Column:
+    """The id in a watch page's url, null for any other page."""
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    return F.when(host_of(url) == "crunchyroll.com", F.nullif(F.regexp_extract(path, "^/+watch/+([^/]+)", 1), F.lit("")))
 
 
 def real_url(affiliate: Column) -> Column:
