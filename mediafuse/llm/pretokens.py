@@ -44,25 +44,24 @@ def split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     cut[1:-1] = ((left != right) & (left != _OTHER) & (right != _OTHER)) | ((left == _DIGIT) & (right == _DIGIT)) | ((left == 0) != (right == 0))
     inner = off[(off > 0) & (off < n)]
     low = W._LOWER[data]
-    for p in np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)):
-        a, b = p, p
-        ends = set(inner[np.searchsorted(inner, max(0, p - 4096)) : np.searchsorted(inner, p + 4096)].tolist())
-        while a > 0 and kind[a - 1] and a not in ends:
-            a -= 1
-        while b < n and kind[b] and (b == p or b not in ends):
-            b += 1
-        cut[a + 1 : b] = False
-        low[a:b] = data[a:b]
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    if len(special):
+        # The words that hold "<|": each is handled once, however many it holds.
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[1:-1] = (kind[:-1] == 0) != (kind[1:] == 0)
+        edge[inner] = edge[0] = edge[n] = True
+        bound = np.flatnonzero(edge)
+        word = np.unique(np.searchsorted(bound, special, side="right"))
+        for a, b in zip(bound[word - 1].tolist(), bound[word].tolist(), strict=True):
+            cut[a + 1 : b] = False
+            low[a:b] = data[a:b]
     cut[inner] = True
     cut[0] = cut[n] = True
     at = np.flatnonzero(cut)
     start, end = at[:-1], at[1:]
     real = kind[start] != 0
     start, end = start[real], end[real]
-    up, down = W._powers(n)
-    p = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(W._BYTE[low] * up[:n], out=p[1:])
-    h = W.mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    h = W.range_hashes(low, start, end, 0xA0761D6478BD642F)
     return h, start, end, np.searchsorted(start, off)
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
-#: Texts are worked off in slices of about so many bytes, which bounds the memory of a task.
-SLICE_BYTES = 1 << 21
+#: Texts are worked off in slices of about so many bytes, and longer texts in blocks of as many: this bounds the memory of a task.
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,11 +32,11 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.up) < n + 1:
-        size = max(n + 1, SLICE_BYTES * 2)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Ascending powers of the base and of its inverse, for one block."""
+    if len(_powers.up) == 1:
         for name, base in (("up", _R), ("down", _R_INV)):
-            p = np.full(size, base, dtype=_U)
+            p = np.full(SLICE_BYTES + 1, base, dtype=_U)
             p[0] = 1
             setattr(_powers, name, np.cumprod(p, dtype=_U))
     return _powers.up, _powers.down
@@ -45,6 +45,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers.up = _powers.down = np.ones(1, dtype=_U)
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of the byte ranges (ascending, apart from each other) of data, block by block."""
+    up, down = _powers()
+    h = np.zeros(len(start), dtype=_U)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(end, base + SLICE_BYTES, side="right"))
+        if j <= i:  # a range that is longer than a block: its blocks are chained
+            for at in range(base, int(end[i]), SLICE_BYTES):
+                part = data[at : min(at + SLICE_BYTES, int(end[i]))]
+                h[i : i + 1] = mix(h[i : i + 1] * _U(3) + np.sum(_BYTE[part] * up[: len(part)], dtype=_U))
+            i += 1
+            continue
+        n = int(end[j - 1]) - base
+        p = np.zeros(n + 1, dtype=_U)
+        np.cumsum(_BYTE[data[base : base + n]] * up[:n], out=p[1:])
+        a, b = start[i:j] - base, end[i:j] - base
+        h[i:j] = (p[b] - p[a]) * down[a]
+        i = j
+    return mix(h + (end - start).astype(_U) * _U(salt))
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of slices of about SLICE_BYTES; null is empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -78,10 +101,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.nda
     first[inner] |= ~gap[1:-1][inner]
     last[inner - 1] |= ~gap[1:-1][inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n)
-    p = np.zeros(n + 1, dtype=_U)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[:n], out=p[1:])
-    h = mix((p[end] - p[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    h = range_hashes(_LOWER[data] if lower else data, start, end, 0xD6E8FEB86659FD93)
     return h, start, end, np.searchsorted(start, off)
 
 
