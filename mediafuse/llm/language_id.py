@@ -8,23 +8,24 @@ table look-ups, however long they are. Training reads a bounded sample per langu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from mediafuse.llm import wordhash as W
+from mediafuse.llm.columns import col
 
-#: Labelled rows that training uses of each language, about.
+#: Different labelled texts that training uses of each language.
 SAMPLE_PER_LANGUAGE = 200
-#: Each of them is also learned from as a short text: its first bytes, of these lengths in turn.
+#: A piece of each is also learned from as a short text, of these lengths in turn.
 SHORT_BYTES = (24, 60, 150)
-#: Bytes of a training text that are used, from its start (predictions use whole texts).
-TRAIN_BYTES = 4000
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 12
 #: Families of languages by code. Fixed values; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -60,28 +61,37 @@ def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mean_weights(data: np.ndarray, off: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(texts, classifiers) mean weight over the n-grams of each text; empty texts give 0."""
-    rows, depth = _grams(data, off)
-    total = np.zeros((len(off) - 1, weights.shape[1]))
-    if len(data):
+    """(texts, classifiers) mean weight over the n-grams of each text, block by block; empty texts give 0."""
+    total, count = np.zeros((len(off) - 1, weights.shape[1])), np.zeros(len(off) - 1)
+    back = max(ORDERS) - 1
+    for a in range(0, len(data), W.SLICE_BYTES):
+        b, lead = min(a + W.SLICE_BYTES, len(data)), min(a, back)
+        local = np.clip(off, a - lead, b) - (a - lead)
+        first, last = int(np.searchsorted(off, a, side="right")) - 1, int(np.searchsorted(off, b, side="left"))
+        rows, depth = _grams(data[a - lead : b], local[first : last + 1])
+        edge = np.maximum(local[first : last + 1], lead)
         for c in range(weights.shape[1]):
-            w = np.zeros(len(data))
+            w = np.zeros(len(depth))
             for i in range(len(ORDERS)):
                 w += np.where(depth > i, weights[i * BUCKETS + rows[i], c], 0.0)
             ends = np.concatenate([[0.0], np.cumsum(w)])
-            total[:, c] = ends[off[1:]] - ends[off[:-1]]
-        count = np.concatenate([[0], np.cumsum(depth)])
-        total /= np.maximum(count[off[1:]] - count[off[:-1]], 1)[:, None]
-    return total
+            total[first:last, c] += ends[edge[1:]] - ends[edge[:-1]]
+        ends = np.concatenate([[0], np.cumsum(depth)])
+        count[first:last] += ends[edge[1:]] - ends[edge[:-1]]
+    return total / np.maximum(count, 1)[:, None]
 
 
 def _features(texts: list[bytes]) -> np.ndarray:
+    """(texts, buckets): shares of the n-grams of each whole text, block by block."""
     x = np.zeros((len(texts), len(ORDERS) * BUCKETS), dtype=np.float32)
+    back = max(ORDERS) - 1
     for k, t in enumerate(texts):
         data = np.frombuffer(t, dtype=np.uint8)
-        rows, depth = _grams(data, np.array([0, len(data)]))
-        at = np.concatenate([i * BUCKETS + rows[i][depth > i] for i in range(len(ORDERS))])
-        x[k] = np.bincount(at, minlength=x.shape[1])
+        for a in range(0, len(data), W.SLICE_BYTES):
+            lead = min(a, back)
+            rows, depth = _grams(data[a - lead : a + W.SLICE_BYTES], np.array([0, len(data[a - lead : a + W.SLICE_BYTES])]))
+            at = np.concatenate([i * BUCKETS + rows[i][lead:][depth[lead:] > i] for i in range(len(ORDERS))])
+            x[k] += np.bincount(at, minlength=x.shape[1])
         x[k] /= max(1.0, x[k].sum())
     return x
 
@@ -129,80 +139,108 @@ class Model:
             self.weights[used, c] = w * scale
             self.bias[c] -= float(middle @ (w * scale))
 
-    def _vote(self, margin: np.ndarray, level: str, classes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _vote(self, margin: np.ndarray, pairs: list[tuple[str, str, str]], classes: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The class with most pairwise wins (sum of margins decides ties, then the name) and its confidence."""
-        if len(classes) == 1:
-            return np.zeros(len(margin), dtype=np.int64), np.ones(len(margin))
         wins, sums = np.zeros((len(margin), len(classes))), np.zeros((len(margin), len(classes)))
-        for c, (kind, a, b) in enumerate(self.pairs):
-            if kind == level and a in classes and b in classes:
-                i, j, m = classes.index(a), classes.index(b), np.clip(margin[:, c], -30, 30)
-                wins[:, i] += m >= 0
-                wins[:, j] += m < 0
-                sums[:, i] += m
-                sums[:, j] -= m
+        for c, (_, a, b) in enumerate(pairs):
+            i, j, m = classes.index(a), classes.index(b), np.clip(margin[:, c], -30, 30)
+            wins[:, i] += m >= 0
+            wins[:, j] += m < 0
+            sums[:, i] += m
+            sums[:, j] -= m
         best = np.argmax(wins * 1e6 + sums, axis=1)
-        mean = sums[np.arange(len(margin)), best] / (len(classes) - 1)
-        return best, 1 / (1 + np.exp(-2 * mean))
+        mean = sums[np.arange(len(margin)), best] / max(1, len(classes) - 1)
+        return best, 1 / (1 + np.exp(-2 * mean)) if len(classes) > 1 else np.ones(len(margin))
+
+    def _decide(self, data: np.ndarray, off: np.ndarray, level: str, classes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Only the classifiers between these classes look at the texts."""
+        use = [c for c, (kind, a, b) in enumerate(self.pairs) if kind == level and a in classes and b in classes]
+        return self._vote(_mean_weights(data, off, self.weights[:, use]) + self.bias[use], [self.pairs[c] for c in use], classes)
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
-        margin = _mean_weights(data, off, self.weights) + self.bias
         names = list(self.families)
-        family, sure = self._vote(margin, "family", names)
-        lang, score = np.empty(len(margin), dtype=object), np.zeros(len(margin))
+        family, sure = self._decide(data, off, "family", names)
+        lang, score = np.empty(len(off) - 1, dtype=object), np.zeros(len(off) - 1)
         for f, name in enumerate(names):
             rows = np.flatnonzero(family == f)
-            best, inner = self._vote(margin[rows], "language", self.families[name])
-            lang[rows] = np.array(self.families[name], dtype=object)[best]
+            if not len(rows):
+                continue
+            classes = self.families[name]
+            best, inner = np.zeros(len(rows), dtype=np.int64), np.ones(len(rows))
+            if len(classes) > 1:
+                own = np.concatenate([data[off[r] : off[r + 1]] for r in rows])
+                bound = np.concatenate([[0], np.cumsum(np.diff(off)[rows])])
+                best, inner = self._decide(own, bound, "language", classes)
+            lang[rows] = np.array(classes, dtype=object)[best]
             score[rows] = sure[rows] * inner
         return lang.tolist(), np.clip(score, 0.0, 1.0)
 
 
+def _crop(text: bytes, size: int) -> bytes:
+    """About ``size`` bytes of the text from a word's start, at a place that the text itself decides."""
+    if len(text) <= size:
+        return text
+    at = zlib.crc32(text) % (len(text) - size)
+    return text[text.find(b" ", at, at + 40) + 1 or at :][:size]
+
+
 def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of a sample of about ``sample_per_language`` rows of each language, chosen by a hash of the text. None without rows."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    """A model of ``sample_per_language`` different texts of each language, those of least hash (all, if fewer). None without rows.
+
+    Copies of a text count once, every language that has a text with a letter is learned, and the sample depends
+    neither on the order of rows nor on their partitions. Rows of null text or language and texts without a letter
+    teach nothing. Whole texts are learned from, and a short piece of each besides. Only the sample and one count
+    per language reach the driver.
+    """
+    rows = labelled.where(col(lang_col).isNotNull() & col(text_col).rlike(r"\p{L}")).select(
+        col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    different = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not different:
         return None
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    share = F.coalesce(*(F.when(F.col("lang") == g, F.lit(min(1 << 20, int(1.0 * (1 << 20) * sample_per_language / n) + 1))) for g, n in sorted(counts.items())))
-    picked = rows.where(part < share).select("lang", F.expr(f"left(text, {TRAIN_BYTES})").alias("text")).limit(2 * sample_per_language * len(counts)).toArrow().to_pylist()
+    # Four times the sample lies below a bound on the hash (the counts are right within a few percent); the least of them are taken.
+    share = F.coalesce(*(F.when(F.col("lang") == g, F.lit(min(1 << 30, 1 + 4 * sample_per_language * (1 << 30) // max(1, n)))) for g, n in sorted(different.items())))
+    texts = rows.where(F.shiftrightunsigned("h", 34) < share).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))
+    picked = texts.withColumn("r", least).where(F.col("r") <= sample_per_language).select("lang", "text").toArrow().to_pylist()
     whole = sorted((r["lang"], r["text"].encode()) for r in picked)
-    return Model(whole + [(g, t[: SHORT_BYTES[i % len(SHORT_BYTES)]]) for i, (g, t) in enumerate(whole)])
+    return Model(whole + [(g, _crop(t, SHORT_BYTES[i % len(SHORT_BYTES)])) for i, (g, t) in enumerate(whole)])
 
 
-def _predicted(model):
+def _predicted(model, names: tuple[str, str]):
     letter = regex.compile(r"\p{L}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(batch.num_columns - 1)
             for i, j, data, off in W.slices(texts):
                 lang, score = model.value.predict(data, off) if model.value else ([UNKNOWN] * (j - i), np.zeros(j - i))
                 real = [letter.search(t) is not None if t else False for t in texts.slice(i, j - i).to_pylist()]
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [*(own.column(n) for n in own.schema.names if n != "_text"), pa.array([g if r else UNKNOWN for g, r in zip(lang, real, strict=True)], pa.string()),
-                     pa.array(np.where(real, score, 0.0))], names=[*(n for n in own.schema.names if n != "_text"), "lang_pred", "score"])
+                    [*own.columns[:-1], pa.array([g if r else UNKNOWN for g, r in zip(lang, real, strict=True)], pa.string()), pa.array(np.where(real, score, 0.0))],
+                    names=[*own.schema.names[:-1], *names])
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs (default: all) with lang_pred and score (0 to 1).
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of docs (default: all) with the language and a score (0 to 1), called by ``names``.
 
-    Null texts and texts without a letter are ``und`` with score 0, as all are without a model. Existing
-    columns named lang_pred or score are replaced. Rows keep their number, repeated ones too.
+    Null and empty texts and texts without a letter are ``und`` with score 0, as all are without a model.
+    Existing columns of these names are replaced; others pass, whatever they are called. Rows keep their
+    number, repeated ones too. Whole texts are scored, block by block however long.
     """
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "lang_pred string", "score double"])
-    return rows.mapInArrow(_predicted(shared), schema)
+    rows = docs.select(*map(col, keep), col(text_col).cast("string").alias("\0text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return rows.mapInArrow(_predicted(shared, names), schema)
 
 
 def held_out(id_col: str = "doc_id"):
     """True for the fifth of the documents that training does not use; a null id counts as 0."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def query(spark, sf_dir: str) -> DataFrame:
