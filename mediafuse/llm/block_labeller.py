@@ -10,6 +10,8 @@ from mediafuse.llm.html_blocks import DIM, Block, blocks, features
 from mediafuse.llm.html_layouts import Pages
 
 HIDDEN = 24
+#: Blocks of a long page whose features are in memory at a time.
+CHUNK = 4096
 #: Synthetic pages, passes over them, and the seed of all that is random in training.
 TRAIN_PAGES, EPOCHS, SEED = 900, 14, 11
 
@@ -27,12 +29,12 @@ class Labeller:
             self.p[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1.0
         self.p |= {"wo": init(2 * HIDDEN, 1), "wd": np.zeros((DIM, 1), np.float32), "bo": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states (T, N, HIDDEN) of one direction; x is (T, N, DIM), mask (T, N, 1)."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, state: tuple | None = None, tape: list | None = None) -> tuple[np.ndarray, tuple]:
+        """Hidden states (T, N, HIDDEN) of one direction and the last state; x is (T, N, DIM), mask (T, N, 1). ``tape`` gets what gradients need."""
         zx = x @ self.p["wx" + d] + self.p["b" + d]
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        c, out, tape = h.copy(), np.zeros((*x.shape[:2], HIDDEN), np.float32), []
+        h, c = state or (np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros((x.shape[1], HIDDEN), np.float32))
+        out = np.zeros((*x.shape[:2], HIDDEN), np.float32)
         for t in steps:
             z = zx[t] + h @ self.p["wh" + d]
             g = _sigmoid(z[:, : 3 * HIDDEN])
@@ -43,16 +45,17 @@ class Labeller:
             s = np.tanh(c)
             h = np.where(mask[t], o * s, h)
             out[t] = h
-            tape.append((t, i, f, o, u, s, *before))
-        return out, tape
+            if tape is not None:
+                tape.append((t, i, f, o, u, s, *before))
+        return out, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, mask, d)[0] for d in "fb"], axis=2)
         return (both @ self.p["wo"] + x @ self.p["wd"] + self.p["bo"])[:, :, 0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        runs = {d: self._run(x, mask, d) for d in "fb"}
-        both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
+        tapes: dict[str, list] = {d: [] for d in "fb"}
+        both = np.concatenate([self._run(x, mask, d, tape=tapes[d])[0] for d in "fb"], axis=2)
         prob = _sigmoid((both @ self.p["wo"] + x @ self.p["wd"] + self.p["bo"])[:, :, 0])
         m = mask[:, :, 0]
         loss = -float((m * (y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9))).sum() / m.sum())
@@ -63,7 +66,7 @@ class Labeller:
             dz_all = np.zeros((*x.shape[:2], 4 * HIDDEN), np.float32)
             dh, dc = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros((x.shape[1], HIDDEN), np.float32)
             gw = np.zeros_like(self.p["wh" + d])
-            for t, i, f, o, u, s, h0, c0 in reversed(runs[d][1]):
+            for t, i, f, o, u, s, h0, c0 in reversed(tapes[d]):
                 live = mask[t]
                 dh = dh + dh_all[t][:, k * HIDDEN : (k + 1) * HIDDEN]
                 dhl = dh * live
@@ -78,12 +81,32 @@ class Labeller:
             g["b" + d] = dz_all.sum(axis=(0, 1))
         return loss, g
 
+    def long_page(self, page: list[Block]) -> np.ndarray:
+        """As for other pages, with the features of CHUNK blocks at a time: memory holds the hidden states of the page only."""
+        ends = [(a, min(a + CHUNK, len(page))) for a in range(0, len(page), CHUNK)]
+        back, state = np.zeros((len(page), HIDDEN), np.float32), None
+        for a, b in reversed(ends):
+            x = features(page, a, b)[:, None]
+            part, state = self._run(x, np.ones((b - a, 1, 1), bool), "b", state)
+            back[a:b] = part[:, 0]
+        out, state = np.zeros(len(page)), None
+        for a, b in ends:
+            x = features(page, a, b)[:, None]
+            part, state = self._run(x, np.ones((b - a, 1, 1), bool), "f", state)
+            both = np.concatenate([part[:, 0], back[a:b]], axis=1)
+            out[a:b] = _sigmoid(both @ self.p["wo"] + x[:, 0] @ self.p["wd"] + self.p["bo"])[:, 0]
+        return out
+
     def predict(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page the probability of each block to belong to the article. Pages of like length run together."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
         while order:
             longest = len(pages[order[-1]])
+            if longest > CHUNK:
+                long = order.pop()
+                out[long] = self.long_page(pages[long])
+                continue
             n = max(1, min(64, 4096 // longest))
             group, order = order[-n:], order[:-n]
             x, mask, _ = padded([features(pages[i]) for i in group])

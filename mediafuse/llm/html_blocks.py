@@ -11,7 +11,9 @@ from typing import NamedTuple
 
 import numpy as np
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quoted value holds no "<", or else ends before a space, a slash or the tag's end; a tag whose quotes fit neither ends at its first ">".
+_QUOTED = r"""\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}\"(?=[\s/>])|'[^']{0,2000}'(?=[\s/>])"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^>\"']|{_QUOTED})*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements whose whole content is no text of the page. Fixed values.
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
@@ -40,6 +42,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked, links, at, n = 0, 0, 0, len(page)
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -62,7 +65,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), m[3] if m[3] is not None else m[4] or ""
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag not in INLINE:
@@ -75,8 +78,10 @@ def blocks(page: str) -> list[Block]:
         if tag in UNSEEN:
             if tag not in INLINE:
                 flush()
-            if not m[3].rstrip().endswith("/"):
-                end = (_RAW_END.get(tag) or re.compile(rf"</{tag}\s*>", re.I)).search(page, at)
+            if not attributes.rstrip().endswith("/"):
+                end = None if tag in unended else (_RAW_END.get(tag) or re.compile(rf"</{tag}\s*>", re.I)).search(page, at)
+                if end is None:
+                    unended.add(tag)
                 at = end.end() if end else (n if tag in ("script", "style", "template") else at)
             continue
         if tag == "br":
@@ -103,7 +108,7 @@ def blocks(page: str) -> list[Block]:
         open_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in SCOPE), None)
         if open_p is not None and stack[open_p][0] == "p":
             del stack[open_p:]
-        stack.append((tag, " ".join("".join(v) if k.lower() != "data-y" else f"data-y={''.join(v)}" for k, *v in _ATTRIBUTE.findall(m[3])) if m[3] else ""))
+        stack.append((tag, " ".join("".join(v) if k.lower() != "data-y" else f"data-y={''.join(v)}" for k, *v in _ATTRIBUTE.findall(attributes)) if attributes else ""))
     flush()
     return out
 
@@ -132,18 +137,14 @@ def _path(path: tuple[tuple[str, str], ...]) -> np.ndarray:
     return np.array(sorted({k for depth, (tag, names) in enumerate(reversed(path)) for k in _element(tag, names, min(depth, 2))}), dtype=np.int64)
 
 
-#: Words of a block that its vector holds, from its start.
-VECTOR_WORDS = 24
-
-
-def features(found: list[Block]) -> np.ndarray:
-    """(blocks, DIM): hashed tag path, hashed words, and length, link share, case and place."""
-    x = np.zeros((len(found), DIM), dtype=np.float32)
-    for i, b in enumerate(found):
+def features(found: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """(blocks, DIM) of the blocks from first to last: hashed tag path, hashed words (all of them), and length, link share, case and place."""
+    part = found[first:last]
+    x = np.zeros((len(part), DIM), dtype=np.float32)
+    for i, b in enumerate(part):
         x[i, _path(b.path)] = 1.0
-        words = b.text[:300].lower().split()[:VECTOR_WORDS]
-        count = np.bincount([_word(w) for w in words], minlength=WORD_DIM)
+        count = np.bincount([_word(w) for w in b.text.lower().split()], minlength=WORD_DIM)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = count / math.sqrt(count @ count)
-        n = len(b.text)
-        x[i, -8:] = (math.log1p(n) / 8, min(1.0, b.linked / n), n < 25, b.text[-1] in ".!?…\"'", i / len(found), (len(found) - i) / len(found), len(b.path) / 10, 1.0)
+        n, at = len(b.text), first + i
+        x[i, -8:] = (math.log1p(n) / 8, min(1.0, b.linked / n), n < 25, b.text[-1] in ".!?…\"'", at / len(found), (len(found) - at) / len(found), len(b.path) / 10, 1.0)
     return x

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mediafuse.llm.block_labeller import Labeller, trained
+from mediafuse.llm.columns import col
 from mediafuse.llm.html_blocks import blocks
 
 #: Pages that a task labels at a time.
@@ -23,12 +24,11 @@ def _extracted(model):
         for batch in batches:
             for i in range(0, batch.num_rows, PAGES_AT_ONCE):
                 part = batch.slice(i, PAGES_AT_ONCE)
-                found = [blocks(h) if h else [] for h in part.column("_html").to_pylist()]
+                found = [blocks(h) if h else [] for h in part.column(part.num_columns - 1).to_pylist()]
                 kept = [[b.text for b, p in zip(f, prob, strict=True) if p > 0.5] for f, prob in zip(found, labeller.predict(found), strict=True)]
                 text = [" ".join(k) for k in kept]
                 n = [np.array([len(x) for x in v], dtype=np.int64) for v in (text, found, kept)]
-                own = [c for c in part.schema.names if c != "_html"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(text, pa.string()), *map(pa.array, n)], names=[*own, "text", "n_chars", "n_blocks", "n_kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(text, pa.string()), *map(pa.array, n)], names=[*part.schema.names[:-1], "text", "n_chars", "n_blocks", "n_kept"])
     return run
 
 
@@ -36,12 +36,13 @@ def extract(pages: DataFrame, model: Labeller | None = None, html_col: str = "ht
     """The columns ``keep`` of pages (default: all but html_col) with text, n_chars, n_blocks and n_kept.
 
     Null and empty pages and pages without article give empty text. Existing columns of the new names are
-    replaced. Blocks stay in page order, each with single spaces, joined by one space; nothing is cut.
+    replaced, others pass, whatever they are called; repeated rows give equal rows. Blocks stay in page order,
+    each with single spaces, joined by one space; nothing is cut, and pages of any length are read whole.
     """
     new = ("text", "n_chars", "n_blocks", "n_kept")
     keep = [c for c in (keep if keep is not None else pages.columns) if c not in new and c != html_col]
-    rows = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).cast("string").alias("_html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_html"), "text string, n_chars long, n_blocks long, n_kept long"])
+    rows = pages.select(*map(col, keep), col(html_col).cast("string").alias("\0html"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("text", StringType()), *(StructField(n, LongType()) for n in new[1:])])
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     return rows.mapInArrow(_extracted(shared), schema)
 
