@@ -9,12 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediafuse.llm.columns import col
 from mediafuse.llm.license_rules import rules
-from mediafuse.llm.spans import occurrences
+from mediafuse.llm.spans import occurrences, uncontained
 
 #: Fixed phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-_SPANS = "array<struct<start:int,end:int,label:string,priority:int,confidence:int>>"
+_SPAN = "struct<start:int,end:int,label:string,priority:int,confidence:int>"
+_SPANS = f"array<{_SPAN}>"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _spaces(s: Column) -> Column:
@@ -22,8 +25,8 @@ def _spaces(s: Column) -> Column:
 
 
 def word_line(text: Column) -> Column:
-    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the lower-cased text, each between single spaces."""
-    return F.concat(F.lit(" "), F.ltrim(F.concat(F.trim(F.regexp_replace(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))))
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased, each between single spaces."""
+    return F.concat(F.lit(" "), F.ltrim(F.concat(F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))))
 
 
 def _rule_spans(line: Column) -> Column:
@@ -45,17 +48,18 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A detection that lies inside another of higher priority goes; score is the highest confidence of those
     left, 0 without any. Null and empty texts have no words and no labels. Positions count words from 0.
+    Whole texts are scanned; the time for a text grows with its length and its matches. Repeated rows give
+    equal rows; columns of the new names are replaced, others pass.
     """
     keys = sorted({r.keyword for r in rules()})
-    lined = docs.withColumn("_line", word_line(F.coalesce(F.col(text_col), F.lit("")))).drop(text_col)
+    lined = docs.withColumn("_line", word_line(F.coalesce(col(text_col), F.lit("")))).drop(text_col)
     line = F.col("_line")
     base = F.concat(*(_base_places(line, phrase, label) for phrase, label in BASE.items()))
     gate = reduce(lambda a, b: a | b, (F.contains(line, F.lit(k)) for k in keys))
     found = lined.withColumns({
         "_base": base, "_spans": F.when(gate, _rule_spans(line).cast(_SPANS)).otherwise(F.array().cast(_SPANS)),
         "n_words": F.when(line == " ", 0).otherwise(_spaces(line) - 1).cast("long")}).drop("_line")
-    inside = lambda d, o: (o.start <= d.start) & (o.end >= d.end) & (o.priority > d.priority)
-    kept = found.withColumn("_kept", F.filter("_spans", lambda d: ~F.exists("_spans", lambda o: inside(d, o)))).drop("_spans")
+    kept = found.withColumn("_kept", F.when(F.size("_spans") > 1, uncontained(F.col("_spans"), _SPAN)).otherwise(F.col("_spans"))).drop("_spans")
     starts = F.transform("_base", lambda b: b.start)
     base_labels = F.transform("_base", lambda b: b.label)
     return kept.withColumns({
