@@ -1,25 +1,30 @@
 """Benchmark items inside documents: SimHash fingerprints of item-sized windows, a multi-index over
 their blocks, then the exact weighted-shingle similarity. DataFrame functions only.
 
-A window has the item's number of words, or is the whole text where that is shorter. One that reaches the
-similarity holds a least number of the item's shingles, so fingerprints are made of all windows, wherever
-they start, that hold so many shingles of items of their size; this loses nothing that the last step would keep.
-Every 8-bit block of an item's fingerprint is indexed with all values one bit away, so that by the
-pigeonhole principle every window within RADIUS = 15 of 64 bits meets its item in one of the 8 blocks.
+A window has an item's number of words and starts at any word, or is the whole text where that is shorter.
+Which item it resembles is for the fingerprints to tell; but a window that can reach the similarity with some
+item of its size holds a least number of shingles that such items have, so all others are passed over without
+a fingerprint. This is a bound and loses nothing that the last step would keep, wherever words were moved,
+left out or put in. Every 8-bit block of an item's fingerprint is indexed with all values up to FLIPS bits away,
+so that by the pigeonhole principle every window within RADIUS bits meets its item in one of the 8 blocks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediafuse.llm.columns import col, free
 from mediafuse.operators.scratch import Scratch
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, BLOCK_BITS = 8, 8
-RADIUS = 2 * BLOCKS - 1
+BLOCKS, BLOCK_BITS, FLIPS = 8, 8, 2
+#: A window of the similarity differs from its item in some 9 bits on average, and in more than this hardly ever.
+RADIUS = (FLIPS + 1) * BLOCKS - 1
+_MASKS = [sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), n)]
 #: Rows of a table of at most so many are sent to all tasks; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -73,7 +78,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
     The similarity is that of the best window: shingle multisets of ``shingle`` words, weighted Jaccard.
     An item of fewer words has one shingle of all its words. Null, empty and blank texts and items match
     nothing. k is a hash of id and text that tells rows of equal or null id apart; repeated rows give one
-    result. Items with a null item_id are kept apart by their text only.
+    result. Items with a null item_id are kept apart by their text only. Texts are searched whole, however
+    long; columns other than the named ones take no part.
     """
     words = F.col("words")
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct().select(
@@ -81,7 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
     items = scratch.write(items.withColumn("fp", fingerprint(words)), "items")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]
 
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    base = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(id_col), col(text_col)).alias("k"), col(text_col).alias("text"))
     parts, with_shingles = [], []
     for k in sizes:
         own = items.where(F.col("k") == k).withColumn("shingles", _shingles(words, k))
@@ -97,13 +103,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
     starts = placed.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "n")).alias("windows")).select(
         F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "windows")
     held = base.join(_sent(scratch.write(starts, "starts")), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(
-        "doc_id", "k", _words(F.col("text")).alias("words"), "windows").select("doc_id", "k", "words", F.explode("windows").alias("w")).select(
-        "doc_id", "k", F.col("w.start").alias("start"), F.col("w.n").alias("n"), F.expr("slice(words, w.start + 1, w.n)").alias("words"))
+        "doc_id", "k", _words(F.col("text")).alias("words"), "windows").select("doc_id", "k", F.explode(F.transform("windows", lambda w: F.struct(
+            w.start.alias("start"), w.n.alias("n"), F.slice("words", w.start + 1, w.n).alias("words")))).alias("w")).select("doc_id", "k", "w.*")
     windows = scratch.write(held.withColumn("fp", fingerprint(words)), "windows")
 
     index = items.select("item_id", "n", F.col("k").alias("size"), F.col("words").alias("item"), F.col("fp").alias("item_fp"), F.explode(F.array(*(
         F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).bitwiseXOR(F.lit(flip)).alias("value"))
-        for b in range(BLOCKS) for flip in (0, *(1 << i for i in range(BLOCK_BITS)))))).alias("e")).select("item_id", "n", "size", "item", "item_fp", "e.block", "e.value")
+        for b in range(BLOCKS) for flip in _MASKS))).alias("e")).select("item_id", "n", "size", "item", "item_fp", "e.block", "e.value")
     probes = windows.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)))).alias("e")).select(
         "doc_id", "k", "start", "n", "words", "fp", "e.block", "e.value")
     near = probes.join(_sent(scratch.write(index, "index")), ["n", "block", "value"]).where(
@@ -118,9 +124,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs without the rows that hold an item; all other rows and all columns stay."""
+    key, ident = free(docs, "k", "id")
     bad = scratch.write(contaminated(docs, benchmark, scratch, id_col=id_col, text_col=text_col, **more).select(
-        F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct(), "bad")
-    return docs.join(_sent(bad), (F.xxhash64(id_col, text_col) == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+        F.col("doc_id").alias(ident), F.col("k").alias(key)).distinct(), "bad")
+    return docs.join(_sent(bad), (F.xxhash64(col(id_col), col(text_col)) == F.col(key)) & col(id_col).eqNullSafe(F.col(ident)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
