@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediafuse.llm.columns import col
 from mediafuse.operators.scratch import Scratch
 
 TABLES, PROBES, NEAREST = 8, 16, 20
@@ -89,11 +90,20 @@ def _ranked(k: int):
         c = c[np.argsort(ids[c], kind="stable")]
         out: tuple[list, list, list] = ([], [], [])
         if len(c):
+            candidates = x[c]
             for q in np.flatnonzero(query):
-                score = x[c] @ x[q]
-                score[ids[c] == ids[q]] = -np.inf
-                best = np.argsort(-score, kind="stable")[:k]
-                best = best[score[best] > -np.inf]
+                # A product of matrices may round differently with its shape: it only tells which rows can be among the
+                # best, whose scores are then summed in one fixed order, so that equal vectors tie.
+                rough = candidates @ x[q]
+                rough[ids[c] == ids[q]] = -np.inf
+                near = np.arange(len(c))
+                if len(c) > k:
+                    slack = 1e-12 * (1.0 + np.abs(x[q]).sum() * np.abs(candidates).max())
+                    near = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - slack)
+                near = near[rough[near] > -np.inf]
+                score = np.zeros(len(rough))
+                score[near] = (candidates[near] * x[q]).sum(axis=1)
+                best = near[np.argsort(-score[near], kind="stable")[:k]]
                 for column, values in zip(out, (np.full(len(best), ids[q]), ids[c][best], score[best]), strict=True):
                     column.append(values)
         joined = [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
@@ -123,9 +133,9 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries, k: int = NEAREST, id_
     vectors and those with a null, NaN or infinite component take no part. Vectors meet only others of their
     length. Rows that repeat an id are one candidate (with the best score) and never their own neighbour.
     """
-    v = F.col(vector_col).cast("array<double>")
+    v = col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    rows = vectors.where(col(id_col).isNotNull() & sound).select(col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     coded = scratch.write(rows.mapInArrow(_coded(), "is_query boolean, table int, code int, dim int, id long, v array<double>"), "coded")
 
     found = scratch.write(_met(coded, scratch, k), "found")
