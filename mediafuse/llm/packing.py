@@ -1,8 +1,10 @@
 """Training sequences of lexically related documents: BM25 neighbours fill each seed's window.
 
 The terms are the token ids, so the document frequencies of the whole corpus are one vector of the
-vocabulary's size. Documents lie in shards of about ``SHARD_TOKENS`` consecutive tokens of the written
-id table; each has an inverted index, weighted with the statistics of the whole corpus. A seed is the
+vocabulary's size. Documents are first ranged by their two terms of highest BM25 weight, so that lexical
+neighbours come to lie together whatever their order in the input; a hash of the row comes last in that
+order and splits groups of any size. Shards are about ``SHARD_TOKENS`` consecutive tokens of it; each has an
+inverted index, weighted with the statistics of the whole corpus. A seed is the
 rest of a document that was cut, or else the first unused document; its unused neighbours follow by
 score until the window is full, the last of them being cut there. What remains of a shard becomes
 sequences whose lengths are powers of two, which need no padding.
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediafuse.llm.pretokens import Pieces
+from mediafuse.llm.columns import col
 from mediafuse.operators.scratch import Scratch
 
 WINDOW = 4096
@@ -55,6 +58,27 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         [pa.array(np.concatenate([term, [-1, -2]])), pa.array(np.concatenate([df[term], [n, tokens]]))], names=["term", "df"])
 
 
+def _weights(tf: np.ndarray, term: np.ndarray, size: np.ndarray | float, idf: np.ndarray, mean: float) -> np.ndarray:
+    tf = tf.astype(np.float32)
+    return idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def _routed(statistics):
+    """Adds the two terms of highest weight and a hash of the row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean = statistics.value
+        for batch in batches:
+            first = np.full((batch.num_rows, 3), -1, dtype=np.int64)
+            for i, raw in enumerate(batch.column("ids")):
+                data = raw.as_buffer()
+                term, tf = np.unique(np.frombuffer(data, dtype="<u2"), return_counts=True)
+                top = np.argsort(-_weights(tf, term, float(len(data) // 2), idf, mean), kind="stable")[:2]
+                first[i, : len(top)] = term[top]
+                first[i, 2] = zlib.crc32(data, (batch.column("doc_id")[i].as_py() or 0) & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in first.T)], names=["doc_id", "ids", "t1", "t2", "salt"])
+    return run
+
+
 class _Index:
     """Inverted index of one shard. Postings lie by term; a weight holds the whole BM25 factor."""
 
@@ -63,9 +87,8 @@ class _Index:
         self.terms = [p[0] for p in parts]
         term = np.concatenate(self.terms)
         doc = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
-        tf = np.concatenate([p[1] for p in parts]).astype(np.float32)
         size = np.array([len(d) for d in docs], dtype=np.float32)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+        weight = _weights(np.concatenate([p[1] for p in parts]), term, size[doc], idf, mean)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.bound = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
@@ -170,9 +193,10 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, id_col: str = "doc_id", t
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone. Every row of docs is a document of its own, also where ids
-    repeat or are null. Sequences have 4096 ids, but for the last of a shard, whose lengths are powers of two.
+    repeat or are null. Texts of any length are read whole and cut over as many sequences as they need; other
+    columns take no part. Sequences have 4096 ids, but for the last of a shard, whose lengths are powers of two.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = scratch.write(base.mapInArrow(_tokenized(path), "doc_id long, ids binary"), "ids")
     counted = ids.mapInArrow(_document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(VOCABULARY, dtype=np.int64)
@@ -181,7 +205,8 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, id_col: str = "doc_id", t
     df[list(totals)] = list(totals.values())
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     statistics = docs.sparkSession.sparkContext.broadcast((idf, max(1.0, tokens / max(1, n))))
-    return ids.mapInArrow(_packed(statistics), COLUMNS)
+    routed = ids.mapInArrow(_routed(statistics), "doc_id long, ids binary, t1 long, t2 long, salt long").repartitionByRange("t1", "t2", "salt")
+    return routed.sortWithinPartitions("t1", "t2", "salt", "doc_id").select("doc_id", "ids").mapInArrow(_packed(statistics), COLUMNS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
