@@ -89,7 +89,17 @@ def test_labeller_on_pages_it_has_not_seen():
     assert right.mean() > 0.98
 
 
+def test_long_pages_are_labelled_as_others(monkeypatch):
+    page = blocks("<nav><a>Home</a></nav><article>" + "".join(f"<p>A sentence number {i} of the story goes here.</p>" for i in range(60)) + "</article><footer>&copy; x</footer>")
+    whole = block_labeller.trained().predict([page])[0]
+    monkeypatch.setattr(block_labeller, "CHUNK", 7)
+    assert np.allclose(block_labeller.trained().predict([page])[0], whole, atol=1e-5)
+
+
 def test_blocks_of_broken_markup():
+    text = lambda h: [b.text for b in blocks(h)]
+    assert text('<p class="x>Hello world</p><p>b') == ["Hello world", "b"] and text('<p class="x>Hello <a href="y">link</a></p>') == ["Hello link"]
+    assert text('<p title="a > b">c</p><p data-h="<b>x</b>">d</p>') == ["c", "d"] and text("<select>" * 20000 + "<p>e") == ["e"]
     assert [b.text for b in blocks("a<p>b<p>c</div>d<br>e <i>f</i>g<script>no<td>")] == ["a", "b", "c", "d e fg"]
     assert blocks("") == [] and blocks("<!-- x") == [] and [b.text for b in blocks("<p>1 < 2 &lt; 3</p>")] == ["1 < 2 < 3"]
 
