@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediafuse.llm.columns import col, free, only
 from mediafuse.llm import decontaminate, language_id, line_dedup, near_dups, packing
 from mediafuse.operators.scratch import Scratch
 
@@ -17,33 +18,42 @@ BROADCAST_IDS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told (null text or no letter)."""
-    model = language_id.train(docs.where(~language_id.held_out()).select("text", "lang"))
-    return language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    """Drops documents whose language cannot be told: null, empty or blank texts and texts without a letter.
+
+    Every stage takes columns of any name beside those of documents, equal rows (each counts), texts of any
+    length, which are read whole, and a table without rows, which gives none.
+    """
+    model = language_id.train(docs.where(~language_id.held_out()))
+    (told,) = free(docs, "told")
+    return only(language_id.identify(docs, model, names=(told, f"{told}_score")).where(F.col(told) != language_id.UNKNOWN), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the boilerplate lines of each source; n_chars follows the text."""
+    """Drops the boilerplate lines of each source; n_chars follows the text. Null texts and rows without a source stay as they are."""
     freed = line_dedup.dedup_lines(docs, Scratch(spark, "pipeline-lines"))
-    return freed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return only(freed.withColumn("n_chars", F.length("text").cast("long")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates (five words, 0.8)."""
-    scratch = Scratch(spark, "pipeline-near-dups")
-    gone = scratch.write(near_dups.near_duplicate_groups(docs, scratch).where("not kept and id is not null").select("id").distinct(), "gone")
+    """Keeps the document of the smallest id of each group of near-duplicates (five words, 0.8).
+
+    Documents without words or without an id stay; of repeated rows all stay where the id is kept.
+    """
+    scratch, (gone_id,) = Scratch(spark, "pipeline-near-dups"), free(docs, "gone_id")
+    gone = near_dups.near_duplicate_groups(docs, scratch).where("not kept and id is not null").select(F.col("id").alias(gone_id)).distinct()
+    gone = scratch.write(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("id"), "left_anti").select(*docs.columns)
+    return docs.join(gone, col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark. Null and empty texts hold none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, items, Scratch(spark, "pipeline-benchmark")).select(*docs.columns)
+    return decontaminate.decontaminate(docs, items, Scratch(spark, "pipeline-benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 ids."""
+    """The pieces of all documents in sequences of 4096 ids. Null and empty texts are the end id alone."""
     return packing.pack(docs, Scratch(spark, "pipeline-packing"), public_tokenizers.path(packing.TOKENIZER))
 
 
