@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediafuse.functions.text import END, START
@@ -66,3 +66,13 @@ def year_text(t: Column) -> Column:
     """The first year in a text as ``YYYY-01-01``."""
     y = F.regexp_extract(t, "([0-9]{4})", 1)
     return F.when(y != "", F.concat(y, F.lit("-01-01")))
+
+
+def catalogue(rows: DataFrame, day: str) -> DataFrame:
+    """(season_key, records): records of each broadcast season."""
+    return rows.groupBy(season_key(F.col(day)).alias("season_key")).agg(F.count("*").alias("records"))
+
+
+def of_season(rows: DataFrame, key: str, season: str) -> DataFrame:
+    """Rows of one season by its key; the key is a partition column where the table is partitioned by it."""
+    return rows.where(F.col(key) == season)

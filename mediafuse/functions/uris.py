@@ -124,3 +124,8 @@ def catalogue_node(ident: Column) -> Column:
     yes = ident.rlike(form)
     return F.struct(F.when(yes, F.regexp_extract(ident, form, 1)).otherwise(ident).alias("object_id"),
                     F.when(yes, F.regexp_extract(ident, form, 2).cast("long")).alias("season_object_id"))
+
+
+def to_aggregated_id(uris: Column) -> Column:
+    """The list of an aggregated uri, encoded so that it can stand in an address."""
+    return F.replace(F.url_encode(F.concat(F.lit("("), F.array_join(ordered(uris), ","), F.lit(")"))), F.lit("+"), F.lit("%20"))

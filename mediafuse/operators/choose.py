@@ -34,10 +34,14 @@ def hero_candidates(media: DataFrame) -> DataFrame:
     return usable.crossJoin(F.broadcast(any_trailer)).where(~F.col("_any") | (F.size("trailers") > 0)).drop("_any")
 
 
+def hero_pool(candidates: DataFrame, banned: DataFrame, pool: int = 10) -> DataFrame:
+    """The first ``pool`` candidates by popularity that are not banned."""
+    return candidates.join(banned, "uri", "left_anti").orderBy(F.desc_nulls_last("popularity"), "uri").limit(pool)
+
+
 def pick_hero(candidates: DataFrame, banned: DataFrame, seed: int, pool: int = 10) -> DataFrame:
-    """One of the first ``pool`` candidates by popularity that are not banned, by a seeded hash."""
-    first = candidates.join(banned, "uri", "left_anti").orderBy(F.desc_nulls_last("popularity"), "uri").limit(pool)
-    return first.orderBy(F.xxhash64("uri", F.lit(seed)), "uri").limit(1)
+    """One of the pool, by a seeded hash."""
+    return hero_pool(candidates, banned, pool).orderBy(F.xxhash64("uri", F.lit(seed)), "uri").limit(1)
 
 
 def top_sources(handles: DataFrame, key: str, external: Column, n: int = 5) -> DataFrame:
@@ -55,8 +59,14 @@ def newest_release(releases: DataFrame, tag: str, has_asset: Column) -> DataFram
     return releases.where(F.col(tag).rlike("^[0-9]{4}-[0-9]{2}$") & has_asset).orderBy(F.desc(tag)).limit(1)
 
 
-def retry_delay(attempt: Column, base_ms: int = 1000, most_ms: int = 15000) -> Column:
-    return F.least(F.lit(base_ms) * F.pow(F.lit(2.0), attempt), F.lit(float(most_ms))).cast("long")
+def retry_delay(attempt: Column, base_ms: int = 1000, most_ms: int = 15000, header: Column | None = None, now: Column | None = None) -> Column:
+    """Milliseconds before the next attempt: what the answer's header asks for (seconds or a date), else doubling; bounded."""
+    doubling = F.lit(base_ms) * F.pow(F.lit(2.0), attempt)
+    if header is None:
+        return F.least(doubling, F.lit(float(most_ms))).cast("long")
+    until = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
+    asked = F.coalesce(header.try_cast("double") * 1000, (F.unix_millis(until) - F.unix_millis(now)).cast("double") if now is not None else F.lit(None))
+    return F.least(F.when(asked > 0, asked).otherwise(doubling), F.lit(float(most_ms))).cast("long")
 
 
 #: Answers after which a request is tried again. Fixed values.
@@ -66,3 +76,23 @@ RETRYABLE = (408, 429, 502, 503, 504, 522, 524)
 def canonical_address(address: Column) -> Column:
     """A plugin's address without outer space, version and trailing slashes."""
     return F.regexp_replace(F.regexp_replace(F.trim(address), "/+$", ""), "@[0-9][^@/]*$", "")
+
+
+def canonical_links(links: DataFrame, address: str, position: str) -> DataFrame:
+    """The different plugin addresses in canonical form, with the place where each comes first, sorted for writing."""
+    rows = links.select(canonical_address(F.col(address)).alias(address), position).where(F.col(address) != "")
+    return rows.groupBy(address).agg(F.min(position).alias(position)).orderBy(address)
+
+
+def retryable(status: Column) -> Column:
+    return F.coalesce(status.isin(*RETRYABLE), F.lit(False))
+
+
+def seasonal_or_carrier(refs: DataFrame, seasonal: DataFrame, index: DataFrame, key: str, position: str) -> DataFrame:
+    """(key, record): of a request's catalogue refs, in order, the first that hits the season's records, else the first that hits the index.
+
+    refs: key, position, ref; seasonal and index: ref, record.
+    """
+    hits = refs.join(seasonal.select("ref", F.col("record").alias("_s")), "ref", "left").join(index.select("ref", F.col("record").alias("_i")), "ref", "left")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(position)))
+    return hits.groupBy(key).agg(F.coalesce(first("_s"), first("_i")).alias("record"))

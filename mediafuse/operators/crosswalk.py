@@ -47,20 +47,20 @@ def merge_ids(databases: list[DataFrame], key: str = "mal", others: tuple[str, .
     return clear_ambiguous(agreed_ids(databases, key, others).where("conflicts = 0").drop("conflicts"), others, key)
 
 
-def delta_encode(rows: DataFrame, column: str = "mal", segment: Column | None = None) -> DataFrame:
-    """``delta`` of a sorted id to the one before it; absent (0 or null) is 0 and does not count.
+def delta_encode(rows: DataFrame, segment: Column, column: str = "mal") -> DataFrame:
+    """``delta`` of a sorted id to the one before it in its segment; absent (0 or null) is 0 and does not count.
 
-    segment: encode each segment on its own, which keeps a large index from being one task's work.
+    Segments (ranges of the id) are encoded on their own, so that an index is the work of many tasks.
     """
-    part = Window.partitionBy(segment if segment is not None else F.lit(0)).orderBy(column)
+    part = Window.partitionBy(segment).orderBy(column)
     real = rows.where(F.coalesce(F.col(column), F.lit(0)) != 0)
     coded = real.withColumn("delta", F.col(column) - F.coalesce(F.lag(column).over(part), F.lit(0)))
     return coded.unionByName(rows.where(F.coalesce(F.col(column), F.lit(0)) == 0).withColumn("delta", F.lit(0).cast("long")))
 
 
-def delta_decode(rows: DataFrame, position: str, delta: str = "delta", segment: Column | None = None) -> DataFrame:
-    """``decoded``: the running sum where delta is not 0, else 0."""
-    part = Window.partitionBy(segment if segment is not None else F.lit(0)).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+def delta_decode(rows: DataFrame, position: str, segment: Column, delta: str = "delta") -> DataFrame:
+    """``decoded``: the running sum within a segment where delta is not 0, else 0."""
+    part = Window.partitionBy(segment).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("decoded", F.when(F.col(delta) == 0, 0).otherwise(F.sum(delta).over(part)).cast("long"))
 
 

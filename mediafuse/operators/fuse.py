@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediafuse.functions import uris
+from mediafuse.operators.scratch import Scratch
 
 MEDIA_SCALARS = ["type", "status", "external_links", "average_score", "popularity", "start_date", "end_date", "is_adult", "episode_count"]
 EPISODE_SCALARS = ["embed_url", "release_date", "season_number", "episode_number", "absolute_episode_number", "runtime"]
@@ -38,9 +39,11 @@ def fuse_scalars(members: DataFrame, scalars: list[str], group: str | list[str]
 
 
 def _exploded(members: DataFrame, column: str, group: list[str]) -> DataFrame:
-    size = F.count("*").over(Window.partitionBy(*group))
-    return members.withColumn("_single", size == 1).select(
-        *group, "_single", (-F.coalesce(F.col("score"), F.lit(0.0))).alias("_s"), F.col("uri").alias("_u"), F.posexplode(column).alias("_p", "_e"))
+    """One row per entry; ``_single`` where the group has one member (``members`` counts them, if it is there)."""
+    if "members" not in members.columns:
+        members = members.join(members.groupBy(*group).agg(F.count("*").alias("members")), group)
+    return members.select(
+        *group, (F.col("members") == 1).alias("_single"), (-F.coalesce(F.col("score"), F.lit(0.0))).alias("_s"), F.col("uri").alias("_u"), F.posexplode(column).alias("_p", "_e"))
 
 
 def fuse_list(members: DataFrame, column: str, group: str | list[str] = "component", unique: str | None = None, by_score: bool = True) -> DataFrame:
@@ -72,26 +75,36 @@ def reconcile_categories(members: DataFrame, group: str = "component") -> DataFr
         F.array_compact(F.array(F.when(F.col("_anime"), F.lit("ANIME")), F.col("_format")))).alias("categories"))
 
 
-def fuse_media(members: DataFrame) -> DataFrame:
-    """Golden media per component: scalars, categories and all list columns that members have."""
-    out = fuse_scalars(members, MEDIA_SCALARS)
-    if "categories" in members.columns:
-        out = out.join(reconcile_categories(members), "component", "left")
-    for column, unique, by_score in (("titles", "title", True), ("descriptions", None, True), ("short_descriptions", None, True), ("covers", None, True), ("banners", None, True), ("trailers", "uri", False)):
-        if column in members.columns:
-            out = out.join(fuse_list(members, column, "component", unique, by_score), "component", "left")
+LISTS = {"titles": ("title", True), "descriptions": (None, True), "short_descriptions": (None, True), "covers": (None, True), "banners": (None, True), "thumbnails": (None, True), "trailers": ("uri", False)}
+
+
+def _with_lists(scalars: DataFrame, members: DataFrame, group: list[str], extra: list[DataFrame] = ()) -> DataFrame:
+    out = scalars
+    for part in [*extra, *(fuse_list(members, c, group, unique, by_score) for c, (unique, by_score) in LISTS.items() if c in members.columns)]:
+        out = out.join(part, group, "left")
     return out
 
 
+def fuse_media(members: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Golden media per component: scalars, categories and all list columns that members have.
+
+    With scratch the members are written once, by component, and every part reads that table.
+    """
+    sized = members.join(members.groupBy("component").agg(F.count("*").alias("members")), "component")
+    sized = scratch.write(sized, "sized") if scratch else sized
+    extra = [reconcile_categories(sized)] if "categories" in members.columns else []
+    return _with_lists(fuse_scalars(sized.drop("members"), MEDIA_SCALARS), sized, ["component"], extra)
+
+
 def group_episodes(episodes: DataFrame, season_aware: bool = False) -> DataFrame:
-    """Fused episodes per component and episode_number; rows without a number are left out.
+    """Fused episodes per component and episode_number, lists too where episodes have them; rows without a number are left out.
 
     Seasons are not told apart unless season_aware. media_uri is the fused episode's own uri (as sources of
     this kind expect); media_component is the cluster it belongs to.
     """
     numbered = episodes.where(F.col("episode_number").isNotNull())
     group = ["component", "episode_number"] + (["season_number"] if season_aware else [])
-    out = fuse_scalars(numbered, [c for c in EPISODE_SCALARS if c not in group], group)
+    out = _with_lists(fuse_scalars(numbered, [c for c in EPISODE_SCALARS if c not in group], group), numbered, group)
     return out.withColumns({"media_uri": F.col("uri"), "media_component": F.col("component")})
 
 
@@ -108,3 +121,18 @@ def keep_last_per_number(episodes: DataFrame, media: str, number: str, position:
     """The last row of each number within a media; rows without a number all stay."""
     last = F.row_number().over(Window.partitionBy(media, number).orderBy(F.desc(position)))
     return episodes.withColumn("_last", last).where(F.col(number).isNull() | (F.col("_last") == 1)).drop("_last")
+
+
+def season_counts(episodes: DataFrame, media: str, season: str) -> DataFrame:
+    """(media, season, episodes): how many episodes a media's seasons have; episodes of no season are left out."""
+    return episodes.where(F.col(season).isNotNull()).groupBy(media, season).agg(F.count("*").alias("episodes"))
+
+
+def numbered_by_position(episodes: DataFrame, media: list[str], order: str) -> DataFrame:
+    """Episodes with ``position``, their place within the media from 1."""
+    return episodes.withColumn("position", F.row_number().over(Window.partitionBy(*media).orderBy(order)).cast("long"))
+
+
+def episode_order(rows: DataFrame) -> DataFrame:
+    """Episodes by number, then uri."""
+    return rows.orderBy(F.asc_nulls_last("episode_number"), "uri")

@@ -54,3 +54,61 @@ def positional_lookup(requests: DataFrame, table: DataFrame, ids: str, key: str)
 def only_origin(records: DataFrame, declared: Column | str, origin: str = "origin") -> DataFrame:
     """Rows of the origin that their source declared."""
     return records.where(F.col(origin) == (F.col(declared) if isinstance(declared, str) else declared))
+
+
+def nested_handles(records: DataFrame, uri: str = "uri", handles: str = "handles") -> DataFrame:
+    """(src_uri, dst_uri), once each: every handle of a record, those of its handles too, as deep as the schema nests them."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    level = records.select(F.col(uri).alias("src_uri"), F.explode(handles).alias("h"))
+    found = level.select("src_uri", F.col("h.uri").alias("dst_uri"))
+    while isinstance(inner := level.schema["h"].dataType, StructType) and "handles" in inner.names and isinstance(inner["handles"].dataType, ArrayType):
+        level = level.select("src_uri", F.explode("h.handles").alias("h"))
+        found = found.unionByName(level.select("src_uri", F.col("h.uri").alias("dst_uri")))
+    return found.where("dst_uri is not null and dst_uri <> src_uri").distinct()
+
+
+def with_missing_handles(handles: Column, aggregated: Column, origin: Column) -> Column:
+    """A record's handles (array of uris) and those of an aggregated uri whose origins the record lacks, its own included."""
+    have = F.concat(F.transform(handles, uris.origin_of), F.array(origin))
+    return F.concat(handles, F.filter(uris.handles_of(aggregated), lambda u: ~F.array_contains(have, uris.origin_of(u))))
+
+
+def episodes_of_clusters(members: DataFrame, episodes: DataFrame, episode_edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(component, uri), once each: the episodes of a cluster's media, and all that episode links join to them."""
+    linked = connected_components(linking(episode_edges), scratch, "src_uri", "dst_uri")
+    grouped = with_component(episodes.select("uri", "media_uri"), linked, "uri").withColumnRenamed("component", "episode_component")
+    grouped = scratch.write(grouped, "episodes")
+    owners = grouped.join(members.select(F.col("uri").alias("media_uri"), "component"), "media_uri").select("component", "episode_component").distinct()
+    return owners.join(grouped.select("episode_component", "uri").distinct(), "episode_component").select("component", "uri")
+
+
+def seeded(members: DataFrame, seeds: DataFrame, uri: str = "uri") -> DataFrame:
+    """members of the clusters that hold a seed; without any seed, all of them."""
+    s = seeds.select(F.col(uri).alias("_seed")).distinct()
+    touched = members.join(s, F.col("uri") == F.col("_seed"), "left_semi").select(F.col("component").alias("_c")).distinct().withColumn("_hit", F.lit(True))
+    none = s.agg((F.count("*") == 0).alias("_none"))  # one row
+    return members.join(touched, F.col("component") == F.col("_c"), "left").crossJoin(F.broadcast(none)).where("_none or _hit").drop("_c", "_hit", "_none")
+
+
+def filtered_origins(origins: DataFrame, filters: list[str], api_only: str = "is_api_only") -> DataFrame:
+    """Origins that pass all filters of a request, by name."""
+    tests = {"IS_API_ONLY": F.col(api_only), "IS_NOT_API_ONLY": ~F.col(api_only)}
+    for f in filters:
+        origins = origins.where(tests[f])
+    return origins
+
+
+def first_that_answers(answers: list[DataFrame], key: str) -> DataFrame:
+    """For each key the rows of the first of the tables that has any."""
+    from functools import reduce
+
+    rows = reduce(DataFrame.unionByName, (a.withColumn("_place", F.lit(i)) for i, a in enumerate(answers)))
+    least = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_least"))
+    return rows.join(least, (F.col(key) == F.col("_key")) & (F.col("_place") == F.col("_least"))).drop("_key", "_least", "_place")
+
+
+def fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """primary, or secondary if primary has no rows at all."""
+    none = primary.limit(1).agg((F.count("*") == 0).alias("_none"))
+    return primary.unionByName(secondary.crossJoin(F.broadcast(none)).where("_none").drop("_none"))

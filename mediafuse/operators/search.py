@@ -62,3 +62,8 @@ def first_rung_match(requests: DataFrame, candidates: DataFrame, threshold: floa
     scored = rungs.join(candidates, "rung_query").withColumn("score", similarity.title_similarity(F.col("rung_query"), F.col("title"))).where(F.col("score") >= threshold)
     best = scored.groupBy("query_id").agg(F.min_by(F.struct("rung", "candidate_id", "score"), F.struct("rung", (-F.col("score")).alias("s"), "pos")).alias("b"))
     return best.select("query_id", "b.rung", "b.candidate_id", "b.score")
+
+
+def containing(rows: DataFrame, needle: str, column: str = "title") -> DataFrame:
+    """Rows whose text holds the words as they stand, whatever their case; an empty search finds nothing."""
+    return rows.where(F.contains(F.lower(column), F.lower(F.lit(needle))) & F.lit(needle != ""))

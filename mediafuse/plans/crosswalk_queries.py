@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediafuse.operators import crosswalk
+from mediafuse.operators import choose, crosswalk, identity
 from mediafuse.plans import bindings as B
 from mediafuse.plans.catalog import register
 
@@ -54,7 +54,7 @@ def crosswalk_delta_decode(spark, d):
     return crosswalk.delta_decode(B.relation(spark, d, _DELTAS), "row", segment=F.col("segment")).select("row", "decoded")
 
 
-_REFS = "SELECT l_orderkey, concat(CASE l_suppkey % 4 WHEN 0 THEN 'mal:' WHEN 1 THEN 'offline:anidb-' WHEN 2 THEN 'nf:' ELSE 'anilist:' END, CAST(l_partkey AS STRING)) AS uri FROM {lineitem} WHERE l_orderkey % 100 = 0"
+_REFS = "SELECT l_orderkey, concat(CASE l_suppkey % 4 WHEN 0 THEN 'mal:' WHEN 1 THEN 'offline:anidb-' WHEN 2 THEN 'nf:' ELSE 'anilist:' END, CAST(l_partkey AS STRING)) AS uri FROM {lineitem}"
 _REFS_SQL = f"""refs AS (SELECT l_orderkey, uri, CASE WHEN uri LIKE 'offline:%' THEN 'anidb' ELSE split_part(uri, ':', 1) END AS catalogue, CAST(regexp_extract(uri, '([0-9]+)$', 1) AS BIGINT) AS ref
   FROM {B.text(_REFS)} AS r WHERE uri NOT LIKE 'nf:%' AND NOT regexp_matches(uri, '[:-]0$'))"""
 
@@ -88,15 +88,16 @@ def single_source_id(spark, d):
   FROM part p LEFT JOIN merged m ON m.mal = p.p_partkey + 1""")
 def seasonal_or_carrier(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    season = part.where("p_size % 5 = 0").select((F.col("p_partkey") + 1).alias("mal"), F.concat(F.lit("season:"), "p_name").alias("s"))
-    index = crosswalk.merge_ids(_databases(spark, d)).select("mal", F.concat(F.lit("index:"), F.col("mal").cast("string")).alias("i"))
-    return part.select("p_partkey", (F.col("p_partkey") + 1).alias("mal")).join(season, "mal", "left").join(index, "mal", "left").select("p_partkey", F.coalesce("s", "i").alias("record"))
+    season = part.where("p_size % 5 = 0").select((F.col("p_partkey") + 1).alias("ref"), F.concat(F.lit("season:"), "p_name").alias("record"))
+    index = crosswalk.merge_ids(_databases(spark, d)).select(F.col("mal").alias("ref"), F.concat(F.lit("index:"), F.col("mal").cast("string")).alias("record"))
+    refs = part.select("p_partkey", F.posexplode(F.array(F.lit(-1).cast("long"), F.col("p_partkey") + 1)).alias("pos", "ref"))
+    return choose.seasonal_or_carrier(refs, season, index, "p_partkey", "pos")
 
 
 @register("source_fallback_chain", "SELECT r_regionkey, coalesce(min(CASE WHEN n_nationkey % 7 = 0 THEN n_name END), min(n_name)) AS name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def source_fallback_chain(spark, d):
     """First type that answers: rows of the first choice, else of the second."""
-    nation = spark.read.parquet(f"{d}/nation.parquet")
-    order = F.struct((F.col("n_nationkey") % 7 != 0).alias("second"), "n_name")
-    hits = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.min_by("n_name", order).alias("name"))
+    nation = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").alias("r_regionkey"), "n_name", "n_nationkey")
+    answered = identity.first_that_answers([nation.where("n_nationkey % 7 = 0"), nation], "r_regionkey")
+    hits = answered.groupBy("r_regionkey").agg(F.min("n_name").alias("name"))
     return spark.read.parquet(f"{d}/region.parquet").select("r_regionkey").join(hits, "r_regionkey", "left")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mediafuse.operators import fuse
+from mediafuse.operators.scratch import Scratch
 from mediafuse.plans import bindings as B
 from mediafuse.plans.catalog import register
 from mediafuse.plans.members import MEMBERS_SQL, media, members
@@ -54,7 +54,7 @@ def fuse_trailers(spark, d):
 
 @register("singleton_passthrough", MEMBERS_SQL + "SELECT uri, origin, score, concat(title, '|', title, ' ', kind) AS titles FROM members WHERE n = 1")
 def singleton_passthrough(spark, d):
-    out = fuse.fuse_media(members(spark, d)).where("members = 1")
+    out = fuse.fuse_media(members(spark, d), Scratch(spark, "fuse")).where("members = 1")
     return out.select("uri", "origin", "score", F.array_join(F.transform("titles", lambda t: t.title), "|").alias("titles"))
 
 
@@ -66,7 +66,7 @@ SELECT uri, members, score, popularity, status, categories, titles FROM full_pag
 
 
 def _page(spark, d):
-    out = fuse.fuse_media(members(spark, d).drop("trailers"))
+    out = fuse.fuse_media(members(spark, d).drop("trailers"), Scratch(spark, "fuse"))
     return out.select("uri", "members", "score", "popularity", "status", F.col("categories").alias("_categories"), F.array_join("categories", ",").alias("categories"),
                       F.array_join(F.transform("titles", lambda t: t.title), "|").alias("titles"))
 
@@ -120,9 +120,9 @@ def episode_dedupe_last(spark, d):
 @register("episode_position_number", f"SELECT conv_id, season, turn, row_number() OVER (PARTITION BY conv_id, season ORDER BY turn) AS position FROM {B.text(B.EPISODES)} AS e")
 def episode_position_number(spark, d):
     rows = B.relation(spark, d, B.EPISODES)
-    return rows.select("conv_id", "season", "turn", F.row_number().over(Window.partitionBy("conv_id", "season").orderBy("turn")).cast("long").alias("position"))
+    return fuse.numbered_by_position(rows, ["conv_id", "season"], "turn").select("conv_id", "season", "turn", "position")
 
 
 @register("episode_season_counts", f"SELECT conv_id, season, count(*) AS episodes FROM {B.text(B.EPISODES)} AS e GROUP BY conv_id, season")
 def episode_season_counts(spark, d):
-    return B.relation(spark, d, B.EPISODES).groupBy("conv_id", "season").agg(F.count("*").alias("episodes"))
+    return fuse.season_counts(B.relation(spark, d, B.EPISODES), "conv_id", "season")

@@ -41,14 +41,14 @@ def show_level_edge_filter(spark, d):
     return identity.linking(edges.withColumn("dst_uri", F.when(F.length("dst_uri") % 2 == 0, F.replace("dst_uri", F.lit("part:"), F.lit("imdb:"))).otherwise(F.col("dst_uri"))))
 
 
-@register("handle_edge_extraction", f"""SELECT DISTINCT concat('supp:', CAST(l_suppkey AS VARCHAR)) AS src_uri, concat('part:', CAST(l_partkey AS VARCHAR)) AS dst_uri FROM lineitem WHERE l_orderkey % 50 = 0""")
+@register("handle_edge_extraction", f"""SELECT DISTINCT concat('supp:', CAST(l_suppkey AS VARCHAR)) AS src_uri, concat('part:', CAST(l_partkey AS VARCHAR)) AS dst_uri FROM lineitem""")
 def handle_edge_extraction(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 50 = 0").groupBy("l_orderkey", "l_suppkey").agg(
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_suppkey").agg(
         F.collect_list(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("handles"))
     return identity.handle_edges(rows.withColumn("uri", F.concat(F.lit("supp:"), F.col("l_suppkey").cast("string"))))
 
 
-@register("bare_handle_nodes", """SELECT DISTINCT concat('part:', CAST(l_partkey AS VARCHAR)) AS uri, 'part' AS origin, CAST(l_partkey AS VARCHAR) AS id FROM lineitem WHERE l_orderkey % 50 = 0""")
+@register("bare_handle_nodes", """SELECT DISTINCT concat('part:', CAST(l_partkey AS VARCHAR)) AS uri, 'part' AS origin, CAST(l_partkey AS VARCHAR) AS id FROM lineitem""")
 def bare_handle_nodes(spark, d):
     return identity.bare_handles(handle_edge_extraction(spark, d))
 
@@ -74,7 +74,14 @@ def cluster_members(spark, d):
 @register("cluster_seeds", MEMBERS_SQL + "SELECT m.component, m.uri FROM members m WHERE m.component IN (SELECT component FROM members WHERE k % 97 = 0)")
 def cluster_seeds(spark, d):
     m = Scratch(spark, "seeds").write(members(spark, d).select("component", "uri", "k"))
-    return m.join(m.where("k % 97 = 0").select("component"), "component", "left_semi").select("component", "uri")
+    return identity.seeded(m, m.where("k % 97 = 0").select("uri")).select("component", "uri")
+
+
+@register("cluster_no_seeds", MEMBERS_SQL + "SELECT component, uri FROM members")
+def cluster_no_seeds(spark, d):
+    """An empty set of seeds asks for everything."""
+    m = Scratch(spark, "seeds").write(members(spark, d).select("component", "uri"))
+    return identity.seeded(m, m.where("false").select("uri")).select("component", "uri")
 
 
 _ALIAS = "SELECT concat('alias-', CAST(p_partkey AS {s})) AS alias, concat('part:', CAST((p_partkey * 7) % 2000 AS {s})) AS uri FROM {{part}} WHERE p_partkey % 3 = 0"
@@ -105,10 +112,10 @@ def origin_page_positional(spark, d):
     return identity.positional_lookup(requests, spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name"), "ids", "n_nationkey")
 
 
-@register("origin_filters", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 2) AND n_nationkey % 2 = 0 ORDER BY n_name")
+@register("origin_filters", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 2) ORDER BY n_name")
 def origin_filters(spark, d):
-    api_only = F.col("n_regionkey").isin(1, 2)
-    return spark.read.parquet(f"{d}/nation.parquet").where(api_only & (F.col("n_nationkey") % 2 == 0)).orderBy("n_name").select("n_nationkey", "n_name")
+    rows = spark.read.parquet(f"{d}/nation.parquet").withColumn("is_api_only", F.col("n_regionkey").isin(1, 2))
+    return identity.filtered_origins(rows, ["IS_API_ONLY"]).orderBy("n_name").select("n_nationkey", "n_name")
 
 
 @register("plugin_origin_enforced", f"SELECT uri, origin FROM {B.text(B.MEDIA)} AS m WHERE origin = concat('brand', CAST(k % 25 + 1 AS VARCHAR))")

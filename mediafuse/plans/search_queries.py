@@ -66,22 +66,26 @@ def first_acceptable_match(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
-@register("ladder_match", f"""WITH RECURSIVE req AS (SELECT p_partkey AS query_id, concat('the ', p_name, ' Season ', CAST(p_size AS VARCHAR), ': extra') AS query, p_name FROM part WHERE p_partkey % 10 = 0),
-rungs AS (SELECT query_id, 2 AS rung, concat(p_name, ' : extra') AS rung_query FROM req UNION ALL SELECT query_id, 3, p_name FROM req),
-{alignment_sql("(SELECT DISTINCT p_name AS a, concat(p_name, ' x') AS b FROM req)")}
-SELECT query_id, 3 AS rung, query_id AS candidate_id, round(s.score / (2 * length(s.b)), 6) AS score FROM req JOIN scores s ON s.a = p_name""")
+_LADDER = """SELECT p_partkey AS query_id, p_name, concat('the ', p_name, ' Season ', CAST(p_size AS STRING), ': extra') AS query, concat(p_name, ' x') AS title,
+  CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' : extra') ELSE concat('the ', p_name, ' : extra') END AS known_as FROM {part}"""
+
+
+@register("ladder_match", f"""WITH RECURSIVE part_names AS (SELECT * FROM {B.text(_LADDER)} AS l),
+rungs AS (SELECT query_id, 0 AS rung, query AS rung_query FROM part_names UNION ALL SELECT query_id, 1, concat('the ', p_name, ' : extra') FROM part_names
+  UNION ALL SELECT query_id, 2, concat(p_name, ' : extra') FROM part_names UNION ALL SELECT query_id, 3, p_name FROM part_names),
+known AS (SELECT known_as, title, min(query_id) AS candidate_id FROM part_names GROUP BY ALL),
+{alignment_sql("(SELECT DISTINCT replace(known_as, ' :', '') AS a, title AS b FROM known)")},
+scored AS (SELECT r.query_id, r.rung, k.candidate_id, s.score / (2 * greatest(length(s.a), length(s.b))) AS sim FROM rungs r JOIN known k ON r.rung_query = k.known_as JOIN scores s ON s.a = replace(k.known_as, ' :', '') AND s.b = k.title)
+SELECT query_id, CAST(arg_min(rung, (rung, -sim, candidate_id)) AS INTEGER) AS rung, arg_min(candidate_id, (rung, -sim, candidate_id)) AS candidate_id, round(arg_min(sim, (rung, -sim, candidate_id)), 6) AS score FROM scored WHERE sim >= 0.5 GROUP BY query_id""")
 def ladder_match(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 10 = 0")
-    requests = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("the "), "p_name", F.lit(" Season "), F.col("p_size").cast("string"), F.lit(": extra")).alias("query"))
-    names = part.groupBy(F.col("p_name").alias("rung_query")).agg(F.min("p_partkey").alias("first"))
-    hits = part.select(F.col("p_name").alias("rung_query"), F.col("p_partkey").alias("candidate_id"), F.lit(0).alias("pos"), F.concat("p_name", F.lit(" x")).alias("title"))
-    first = hits.join(names, "rung_query").where("candidate_id = first").drop("first")
-    out = search.first_rung_match(requests, first)
-    return out.select("query_id", "rung", F.col("query_id").alias("candidate_id"), F.round("score", 6).alias("score"))
+    made = B.relation(spark, d, _LADDER)
+    known = made.groupBy(F.col("known_as").alias("rung_query"), "title").agg(F.min("query_id").alias("candidate_id")).withColumn("pos", F.col("candidate_id"))
+    out = search.first_rung_match(made.select("query_id", "query"), known)
+    return out.select("query_id", "rung", "candidate_id", F.round("score", 6).alias("score"))
 
 
 _FUZZY = """SELECT concat('part:', CAST(p_partkey AS STRING)) AS uri, concat('part:', CAST(p_partkey AS STRING)) AS component, concat(p_name, CASE p_size % 6 WHEN 1 THEN ' Season 2' WHEN 2 THEN ' 3' WHEN 3 THEN 's' ELSE '' END, ' of the ', lower(p_type)) AS title,
-  p_partkey % 10 AS score, CASE WHEN p_partkey % 13 <> 0 THEN concat(CAST(1990 + p_partkey % 17 AS STRING), '-04-01') END AS start_date, CASE p_size % 5 WHEN 0 THEN 'MOVIE' WHEN 1 THEN 'SPECIAL' WHEN 2 THEN NULL ELSE 'TV' END AS type FROM {part} WHERE p_partkey < 1200"""
+  p_partkey % 10 AS score, CASE WHEN p_partkey % 13 <> 0 THEN concat(CAST(1990 + p_partkey % 17 AS STRING), '-04-01') END AS start_date, CASE p_size % 5 WHEN 0 THEN 'MOVIE' WHEN 1 THEN 'SPECIAL' WHEN 2 THEN NULL ELSE 'TV' END AS type FROM {part}"""
 
 
 def _fuzzy(spark, d):
@@ -163,13 +167,13 @@ def hero_candidates(spark, d):
 def hero_pool_unbanned(spark, d):
     rows = B.relation(spark, d, B.MEDIA)
     banned = rows.where("k % 4 = 0").select("uri")
-    return rows.join(banned, "uri", "left_anti").orderBy(F.desc("popularity"), "uri").limit(10).select("uri", "popularity")
+    return choose.hero_pool(rows, banned).select("uri", "popularity")
 
 
 @register("source_selector_top5", """SELECT l_orderkey, origin, CAST(rank AS INTEGER) AS rank FROM (SELECT l_orderkey, origin, row_number() OVER (PARTITION BY l_orderkey ORDER BY ext, pos, origin) AS rank FROM (
-  SELECT l_orderkey, concat('s', CAST(l_suppkey % 9 AS VARCHAR)) AS origin, min((l_suppkey % 9 > 4, l_partkey)) AS o, min(l_suppkey % 9 > 4) AS ext, min(l_partkey) AS pos FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL) AS x) AS y WHERE rank <= 5""")
+  SELECT l_orderkey, concat('s', CAST(l_suppkey % 9 AS VARCHAR)) AS origin, min((l_suppkey % 9 > 4, l_partkey)) AS o, min(l_suppkey % 9 > 4) AS ext, min(l_partkey) AS pos FROM lineitem GROUP BY ALL) AS x) AS y WHERE rank <= 5""")
 def source_selector_top5(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 5 = 0").select("l_orderkey", F.concat(F.lit("s"), (F.col("l_suppkey") % 9).cast("string")).alias("origin"), F.col("l_partkey").alias("pos"), (F.col("l_suppkey") % 9 > 4).alias("ext"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.concat(F.lit("s"), (F.col("l_suppkey") % 9).cast("string")).alias("origin"), F.col("l_partkey").alias("pos"), (F.col("l_suppkey") % 9 > 4).alias("ext"))
     return choose.top_sources(rows, "l_orderkey", F.col("ext")).select("l_orderkey", "origin", "rank")
 
 

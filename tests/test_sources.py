@@ -45,7 +45,7 @@ def test_registry_validates_replaces_and_isolates(spark):
 
 def test_index_bundle_decodes(spark):
     rows = spark.createDataFrame([(0, 10), (1, 15), (2, 0), (3, 35)], "row long, delta long")
-    assert [r.decoded for r in crosswalk.delta_decode(rows, "row").orderBy("row").collect()] == [10, 25, 0, 60]
+    assert [r.decoded for r in crosswalk.delta_decode(rows, "row", F.lit(0)).orderBy("row").collect()] == [10, 25, 0, 60]
 
 
 def test_merge_ids_contradiction_and_ambiguity(spark):
