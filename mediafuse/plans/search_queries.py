@@ -16,13 +16,6 @@ QUERY = "small ring"
 _SEARCH = "(SELECT DISTINCT 'small ring' AS a, lower(title) AS b FROM titles)"
 
 
-def _media(spark, d):
-    rows = members(spark, d)
-    score = F.max(F.coalesce("score", F.lit(0.0))).alias("score")
-    return rows.select("component", "titles", "uri", "popularity", "score").groupBy("component").agg(
-        F.flatten(F.collect_list("titles")).alias("titles"), F.min("uri").alias("uri"), F.max("popularity").alias("popularity"), score)
-
-
 _HITS = MEMBERS_SQL + f""", {alignment_sql(_SEARCH)},
 hits AS (SELECT t.component, max(least(1, s.score / 20)) AS relevance FROM titles t JOIN scores s ON s.b = lower(t.title) GROUP BY t.component)
 """
@@ -30,13 +23,14 @@ hits AS (SELECT t.component, max(least(1, s.score / 20)) AS relevance FROM title
 
 @register("search_relevance", _HITS + "SELECT component, round(relevance, 6) AS relevance FROM hits")
 def search_relevance(spark, d):
-    out = search.relevance(_media(spark, d), QUERY)
+    out = search.relevance(members(spark, d), QUERY)
     return out.select("component", F.round("relevance", 6).alias("relevance"))
 
 
 @register("search_page", _HITS + "SELECT m.component AS component, round(relevance, 6) AS relevance, max(popularity) AS popularity FROM hits JOIN members m USING (component) WHERE relevance >= 0.7 GROUP BY m.component, relevance")
 def search_page(spark, d):
-    out = search.search_page(_media(spark, d), QUERY)
+    m = Scratch(spark, "search").write(members(spark, d).select("component", "uri", "titles", "popularity"))
+    out = search.search_page(m, QUERY).groupBy("component", "relevance").agg(F.min("uri").alias("uri"), F.max("popularity").alias("popularity"))
     return out.orderBy(*search.search_order()).select("component", F.round("relevance", 6).alias("relevance"), "popularity")
 
 
