@@ -38,7 +38,7 @@ TEXTS = [
     ("zlib", "as is", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("libpng", "png reference", r"the png reference library is supplied as is"),
     ("apache-2", "apache", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("apache-2", "terms and conditions", r"apache license version 2 0 january 2004"),
+    ("apache-2", "apache", r"apache license version 2 0 january 2004"),
     ("apache-2", "contributor", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
     ("apache-2", "except in compliance", r"you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
@@ -64,14 +64,14 @@ TEXTS = [
     ("epl-1", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license v ?1"),
     ("epl-2", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2"),
     ("cpl-1", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the common public license"),
-    ("ms-pl", "microsoft", r"this license governs use of the accompanying software if you use the software you accept this license"),
-    ("artistic", "copyright holder", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("ms-pl", "accompanying software", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    ("artistic", "intent of this document", r"the intent of this document is to state the conditions under which a package may be copied"),
     ("artistic-2", "artistic", r"this copyright license seeks to ensure that the copyright holder maintains some artistic control"),
     ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
     ("unlicense", "anyone is free", r"anyone is free to copy modify publish use compile sell or distribute this software"),
     ("wtfpl", "want to", r"you just do what the [a-z]+ you want to"),
     ("beerware", "buy me a beer", r"you can buy me a beer in return"),
-    ("cc0", "waive", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "associated a work", r"the person who associated a work with this deed has dedicated the work to the public domain"),
     ("cc0", "copyright and related", r"to the extent possible under law (?:[a-z0-9]+ ){1,10}waived all copyright and related or neighboring rights"),
     ("cc-by-sa", "commons", r"this work is licensed under (?:a|the) creative commons attribution share ?alike"),
     ("cc-by", "commons", r"this work is licensed under (?:a|the) creative commons attribution(?= [0-9]| international| license| unported)"),
@@ -79,18 +79,18 @@ TEXTS = [
     ("ssleay", "cryptographic", r"this product includes cryptographic software written by eric young"),
     ("php-3", "php", r"this product includes php(?: software)? freely available from"),
     ("python-2", "python", r"python software foundation license version 2"),
-    ("ruby", "ruby", r"you may redistribute it and or modify it under either the terms of the (?:gpl|2 clause bsdl)"),
+    ("ruby", "either the terms", r"you may redistribute it and or modify it under either the terms of the (?:gpl|2 clause bsdl)"),
     ("curl", "permission to use", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies except as contained in this notice"),
     ("json", "evil", r"the software shall be used for good not evil"),
-    ("commons-clause", "commons clause", r"the software is provided to you by the licensor under the license as defined below subject to the following condition"),
-    ("busl-1.1", "business source", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("commons-clause", "by the licensor", r"the software is provided to you by the licensor under the license as defined below subject to the following condition"),
+    ("busl-1.1", "non production", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
     ("elastic-2", "managed service", r"you may not provide the software to third parties as a hosted or managed service"),
-    ("sspl-1", "program as a service", r"make the functionality of the program or a modified version available to third parties as a service"),
+    ("sspl-1", "functionality of the program", r"make the functionality of the program or a modified version available to third parties as a service"),
     ("no-warranty", "warranty", r"without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
     ("no-warranty", "warranty", r"without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
 ]
 #: What may stand before an identifier: the tag of a source file or a further part of its expression, a field of a package or a sentence.
-TAG = r"(?:spdx licen[cs]e identifier |(?:or|and|with)(?<=identifier [a-z0-9 ]{1,80} (?:or|and|with)) |licen[cs]es?(?: (?:is|expression|type|name|id|identifier))? |(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|shared) (?:under|by) (?:(?:the|a|an) )?(?:terms of (?:the )?)?)"
+TAG = r"(?:spdx licen[cs]e identifier |(?:or|and|with)(?<=identifier [a-z0-9 ]{1,80} (?:or|and|with)) |licen[cs]es?(?: (?:is|expression|type|name|id|identifier))? |(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|shared) under (?:(?:the|a|an) )?(?:terms of (?:the )?)?)"
 #: Identifiers as words, each behind such a tag.
 IDENTIFIERS = [
     ("agpl-3", "agpl", r"agpl(?:v| v)? ?3(?: 0)?(?: only| or later)?"), ("agpl", "agpl", r"agpl"), ("agpl-1", "agpl", r"agpl 1 0"),
@@ -155,16 +155,16 @@ NAMES = [
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e(?: version 1 [123])?"), ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?1 1"),
     ("apache-2", "apache", r"apache (?:software )?licen[cs]e (?:version |v ?)?2(?: 0)?"), ("apache-2", "apache", r"apache ?2(?: 0)?(?: licen[cs]e)?"), ("apache", "apache", r"apache (?:software )?licen[cs]e"),
     ("mit-0", "no attribution", r"mit no attribution(?: licen[cs]e)?"), ("mit", "mit", r"mit(?: style| x11| expat)? licen[cs]e"), ("mit", "expat", r"expat licen[cs]e"), ("x11", "x11", r"x11 licen[cs]e"),
-    ("bsd-2", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd)(?: licen[cs]e)?"), ("bsd-3", "bsd", r"(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?"),
+    ("bsd-2", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?"), ("bsd-3", "bsd", r"(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?"),
     ("bsd-2", "freebsd", r"freebsd licen[cs]e"), ("bsd-4", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?"), ("0bsd", "bsd", r"zero clause bsd(?: licen[cs]e)?"),
-    ("bsd", "bsd", r"bsd (?:style |type )?licen[cs]e"), ("isc", "isc", r"isc licen[cs]e"), ("isc", "internet systems", r"internet (?:systems|software) consortium licen[cs]e"),
+    ("bsd", "bsd", r"bsd (?:style |type )?licen[cs]e"), ("isc", "isc", r"isc licen[cs]e"), ("isc", "internet ", r"internet (?:systems|software) consortium licen[cs]e"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e (?:version |v )?1 1"), ("mpl-2", "mozilla", r"mozilla public licen[cs]e (?:version |v )?2(?: 0)?"), ("mpl", "mozilla", r"mozilla public licen[cs]e"),
     ("epl-1", "eclipse", r"eclipse public licen[cs]e (?:version |v )?1(?: 0)?"), ("epl-2", "eclipse", r"eclipse public licen[cs]e (?:version |v )?2(?: 0)?"), ("epl", "eclipse", r"eclipse public licen[cs]e"),
     ("edl-1", "eclipse", r"eclipse distribution licen[cs]e"), ("cddl", "common development", r"common development and distribution licen[cs]e(?: version 1 [01])?"), ("cpl-1", "common public", r"common public licen[cs]e"),
     ("eupl-1.2", "european union", r"european union public licen[cs]e(?: (?:version |v )?1 2)?"), ("eupl-1.1", "european union", r"european union public licen[cs]e (?:version |v )?1 1"),
     ("artistic-2", "artistic", r"artistic licen[cs]e (?:version |v )?2(?: 0)?"), ("artistic", "artistic", r"artistic licen[cs]e"), ("boost-1", "boost", r"boost software licen[cs]e(?: (?:version |v )?1(?: 0)?)?"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"), ("libpng", "libpng", r"libpng licen[cs]e"), ("unlicense", "unlicense", r"the unlicense"), ("wtfpl", "do what the", r"do what the [a-z]+ you want to public licen[cs]e"),
-    ("beerware", "beerware", r"beer ?ware licen[cs]e"), ("python-2", "python", r"(?:python software foundation|psf) licen[cs]e"), ("php-3", "php", r"php licen[cs]e(?: version 3 01?)?"), ("ruby", "ruby", r"ruby licen[cs]e"),
+    ("beerware", "beerware", r"beer ?ware licen[cs]e"), ("python-2", "python", r"python software foundation licen[cs]e"), ("python-2", "psf", r"psf licen[cs]e"), ("php-3", "php", r"php licen[cs]e(?: version 3 01?)?"), ("ruby", "ruby", r"ruby licen[cs]e"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e(?: (?:version |v )?1 1)?"), ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e"), ("postgresql", "postgresql", r"postgresql licen[cs]e"),
     ("openssl", "openssl", r"openssl licen[cs]e"), ("afl-3", "academic free", r"academic free licen[cs]e(?: version 3 0)?"), ("osl-3", "open software", r"open software licen[cs]e(?: version 3 0)?"),
     ("ms-pl", "microsoft", r"microsoft public licen[cs]e"), ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"), ("lppl-1.3", "latex", r"latex project public licen[cs]e"), ("qpl-1", "q public", r"q public licen[cs]e"),
@@ -180,9 +180,14 @@ NAMES = [
 #: Notices that name no licence, with the confidence of each in percent.
 NOTICES = [
     ("proprietary", "proprietary", r"proprietary and confidential", 90), ("proprietary", "all rights reserved", r"all rights reserved", 60), ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)", 70),
-    ("copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 40), ("see-file", "license", r"see (?:the )?licen[cs]e(?: file| txt| md)(?: for (?:details|terms|more information))?", 30),
-    ("unknown", "licensed", r"licen[cs]ed under", 20), ("unknown", "license", r"licen[cs]e agreement", 20), ("unknown", "terms", r"terms of use", 10),
+    ("copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 40), ("see-file", "see ", r"see (?:the )?licen[cs]e(?: file| txt| md)(?: for (?:details|terms|more information))?", 30),
+    ("unknown", "licen", r"licen[cs]ed under", 20), ("unknown", "licen", r"licen[cs]e agreement", 20), ("unknown", "terms", r"terms of use", 10),
 ]
+#: Beginnings of words of which every match of every rule holds one: a text without any is done at once.
+GATE = ("licen", "under ", "copyright", "software", "permission", "redistribut", "warrant", "gnu ", "gpl", "lgpl", "agpl", "program ", "names? of ", "misrepresented", "altered source", "machine executable", "patent rights", "png reference",
+        "general public", "affero", "lesser", "library general", "classpath exception", "network ?", "source code form", "you just do what", "beer in return", "deed has dedicated", "waived", "product includes", "unicode data", "third parties", "anyone is free",
+        "apache", "cc by", "cc0", "creative ?commons", "bsd", "freebsd", "clause bsd", "public domain", "commons clause", "unlicense", "no attribution", "wtfpl", "cecill", "eupl",
+        "(?:apache|gnu|opensource|mozilla|eclipse|creativecommons|boost|unlicense|sil|opendatacommons) org", "proprietary", "all rights", "unauthorized", "terms of use", "opendatacommons", "source and binary")
 #: (table, what comes before a rule's expression, confidence in percent), the higher priority first.
 TABLES = [(TEXTS, "", 95), (IDENTIFIERS, TAG, 100), (ADDRESSES, "", 90), (NAMES, LEAD, 80)]
 
@@ -195,6 +200,14 @@ class Rule(NamedTuple):
     confidence: int
 
 
+def gate() -> str:
+    """An expression that finds any of GATE, tried by first letter."""
+    first: dict[str, list[str]] = {}
+    for g in GATE:
+        first.setdefault("" if g.startswith("(") else g[0], []).append(g if g.startswith("(") else g[1:])
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items()) + ")"
+
+
 def rules() -> list[Rule]:
     """All rules, a higher priority first. A keyword begins at a word's start."""
     made = [(label, key, lead + f"(?:{pattern})", sure) for table, lead, sure in TABLES for label, key, pattern in table] + NOTICES

@@ -4,13 +4,11 @@ and containment. DataFrame functions only; one pass over the texts without a shu
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediafuse.llm.columns import col
-from mediafuse.llm.license_rules import rules
+from mediafuse.llm.license_rules import gate, rules
 from mediafuse.llm.spans import occurrences, uncontained
 
 #: Fixed phrases and their labels.
@@ -51,13 +49,12 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Whole texts are scanned; the time for a text grows with its length and its matches. Repeated rows give
     equal rows; columns of the new names are replaced, others pass.
     """
-    keys = sorted({r.keyword for r in rules()})
     lined = docs.withColumn("_line", word_line(F.coalesce(col(text_col), F.lit("")))).drop(text_col)
     line = F.col("_line")
     base = F.concat(*(_base_places(line, phrase, label) for phrase, label in BASE.items()))
-    gate = reduce(lambda a, b: a | b, (F.contains(line, F.lit(k)) for k in keys))
+    possible = F.rlike(line, F.lit(gate()))
     found = lined.withColumns({
-        "_base": base, "_spans": F.when(gate, _rule_spans(line).cast(_SPANS)).otherwise(F.array().cast(_SPANS)),
+        "_base": base, "_spans": F.when(possible, _rule_spans(line).cast(_SPANS)).otherwise(F.array().cast(_SPANS)),
         "n_words": F.when(line == " ", 0).otherwise(_spaces(line) - 1).cast("long")}).drop("_line")
     kept = found.withColumn("_kept", F.when(F.size("_spans") > 1, uncontained(F.col("_spans"), _SPAN)).otherwise(F.col("_spans"))).drop("_spans")
     starts = F.transform("_base", lambda b: b.start)

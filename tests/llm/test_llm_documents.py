@@ -332,6 +332,40 @@ LICENCES = {
 }
 
 
+def shortest(parsed):
+    """Texts that an expression matches: optional parts left out, every alternative once."""
+    import re._constants as C
+
+    texts = [""]
+    for op, arg in parsed:
+        if op is C.LITERAL:
+            parts = [chr(arg)]
+        elif op is C.IN:
+            parts = [next(chr(v if o is C.LITERAL else v[0]) for o, v in arg)]
+        elif op is C.SUBPATTERN:
+            parts = shortest(arg[-1])
+        elif op is C.BRANCH:
+            parts = [t for b in arg[1] for t in shortest(b)]
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            parts = [t * arg[0] for t in shortest(arg[2])] if arg[0] else [""]
+        else:
+            parts = [""]
+        texts = [t + x for t in texts for x in parts]
+    return texts
+
+
+def test_gate_and_keyword_let_every_match_through():
+    import re._parser
+
+    opens = re.compile(license_scan.gate())
+    for r in license_scan.rules():
+        plain = r.pattern.replace("(?<=identifier [a-z0-9 ]{1,80} (?:or|and|with))", "")
+        for t in shortest(re._parser.parse(plain)):
+            if not re.match(r" (?:or|and|with) ", t):
+                assert opens.search(t + " "), (r.label, t)
+                assert r.keyword in t + " ", (r.label, r.keyword, t)
+
+
 def test_license_rules_by_family(spark):
     got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(LICENCES)), "doc_id long, text string")).collect()
     assert {list(LICENCES)[r.doc_id]: r.labels for r in got} == LICENCES
