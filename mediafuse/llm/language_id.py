@@ -48,7 +48,7 @@ def family_of(lang: str) -> str:
 def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(orders, bytes) bucket of the n-gram that ends at each byte, and for each byte the n-grams that its text allows there."""
     low = W._LOWER[data]
-    low = np.where(W._SPACE[low] | (low < 0x41) & (low >= 0x20), np.uint8(0x20), low).astype(np.uint32)
+    low = np.where(W.SPACE[low] | (low < 0x41) & (low >= 0x20), np.uint8(0x20), low).astype(np.uint32)
     rows, h = [], np.zeros(len(low), dtype=np.uint32)
     for n in ORDERS:
         lag = n - 1

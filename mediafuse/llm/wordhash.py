@@ -28,8 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_R))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The bytes outside ``[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]``: words are letters, digits and what is not ASCII.
+NO_ALNUM = np.ones(256, dtype=bool)
+NO_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -87,22 +90,35 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words ``[^\\x20\\x09-\\x0D]+`` in order: 64-bit hash, start, end, and words up to each text's start.
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
 
-    ``lower``: A-Z count as a-z. The last array has one entry more than there are texts.
+
+def word_ranges(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words, the runs of bytes not marked in ``between``, in order: start, end, and words up to each text's start.
+
+    The last array has one entry more than there are texts.
     """
     n = len(data)
     gap = np.ones(n + 2, dtype=bool)
-    gap[1:-1] = _SPACE[data]
+    gap[1:-1] = between[data]
     first = ~gap[1:-1] & gap[:-2]
     last = ~gap[1:-1] & gap[2:]
     inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < n)]
     first[inner] |= ~gap[1:-1][inner]
     last[inner - 1] |= ~gap[1:-1][inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    h = range_hashes(_LOWER[data] if lower else data, start, end, 0xD6E8FEB86659FD93)
-    return h, start, end, np.searchsorted(start, off)
+    return start, end, np.searchsorted(start, off)
+
+
+def words(data: np.ndarray, off: np.ndarray, lower: bool = True, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words (``[^\\x20\\x09-\\x0D]+`` where ``between`` is not given) in order: 64-bit hash, start, end, and words up to each text's start.
+
+    ``lower``: A-Z count as a-z.
+    """
+    start, end, bound = word_ranges(data, off, between)
+    return range_hashes(_LOWER[data] if lower else data, start, end, 0xD6E8FEB86659FD93), start, end, bound
 
 
 def word_shingles(h: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
