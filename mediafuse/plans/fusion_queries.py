@@ -65,6 +65,14 @@ full_page AS (SELECT p.*, c.categories, t.titles FROM page p JOIN (SELECT DISTIN
 SELECT uri, members, score, popularity, status, categories, titles FROM full_page """
 
 
+PAGE_SQL = _PAGE
+
+
+def page_columns(golden):
+    """The columns of a page of golden records."""
+    return golden.select("uri", "members", "score", "popularity", "status", F.array_join("categories", ",").alias("categories"), F.array_join(F.transform("titles", lambda t: t.title), "|").alias("titles"))
+
+
 def _page(spark, d):
     out = fuse.fuse_media(members(spark, d).drop("trailers"), Scratch(spark, "fuse"))
     return out.select("uri", "members", "score", "popularity", "status", F.col("categories").alias("_categories"), F.array_join("categories", ",").alias("categories"),
