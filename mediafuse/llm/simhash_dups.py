@@ -1,13 +1,14 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
-The anchors are the words of a covering code: two Golay codes of length 23, side by side on 46 of a fingerprint's
-64 bits, so 2^24 anchors, and no fingerprint is further than 3 bits from its anchor in either half (its home).
-Fingerprints within ``radius`` bits of each other differ by at most so many in the halves together; therefore
-the one reaches the other's home within the covering radius and that many bits. Each fingerprint is replicated
-to all anchors so near and compared, at each, with the fingerprints at home there.
+The anchors are the words of a covering code: five perfect codes side by side on 63 of a fingerprint's 64 bits, two
+Golay codes of length 23 and repetition codes of lengths 5, 5 and 7, so 2^27 anchors. In each of its five parts a
+fingerprint lies within the code's covering radius of one word; these words are its home. Fingerprints within
+``radius`` bits of each other differ by at most so many in the parts together; therefore the one reaches the
+other's home within the covering radii and that many bits. Each fingerprint is replicated to all anchors so near
+(432 on average for 3 bits) and compared, at each, with the fingerprints at home there.
 
 Equal fingerprints are one row before anything is replicated, and anchors that are nobody's home are left out
-(they are known from a bitmap of 2 MB, whatever the size of the corpus). An anchor whose comparisons stand out is
+(they are known from a bitmap of 16 MB, whatever the size of the corpus). An anchor whose comparisons stand out is
 dealt out in blocks. A task returns spanning stars of the links it finds, never all pairs of a group.
 """
 
@@ -32,11 +33,13 @@ SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: The binary Golay code: length, covering radius, generator polynomial. Fixed values.
 LENGTH, COVERING, GENERATOR = 23, 3, 0b101011100011
 MASK = (1 << LENGTH) - 1
-ANCHORS = 1 << 24
+#: Lengths of the repetition codes behind the two Golay codes.
+REPEATED = (5, 5, 7)
+ANCHORS = 1 << (24 + len(REPEATED))
 #: Home and replicated fingerprints of a block of an anchor whose comparisons are dealt out, and comparisons made at a time.
 HOMES, MEMBERS, AT_ONCE = 2048, 8192, 1 << 20
-#: An anchor is dealt out beyond so many comparisons and this multiple of the mean, so that 2^24 / 64 are, at most.
-LARGE, TIMES = 1 << 22, 64
+#: An anchor is dealt out beyond so many comparisons and this multiple of the mean, so that 2^27 / 512 are, at most.
+LARGE, TIMES = 1 << 22, 512
 #: Fingerprints of more rows than this are joined back by broadcast; there is at most one for each so many rows.
 HOT_ROWS = 10_000
 _U = np.uint64
@@ -156,22 +159,37 @@ def _errors(radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pattern, excess, np.concatenate([first[:, None], upto], axis=1)
 
 
-def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@cache
+def _repeated(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of the bits behind the Golay codes: its home among the words of the repetition codes, and the excess of each of them."""
+    value = np.arange(1 << sum(REPEATED))
+    home, excess, at = np.zeros(len(value), np.int64), np.zeros((len(value), 1 << len(REPEATED)), np.int64), 0
+    for i, n in enumerate(REPEATED):
+        ones = np.bitwise_count((value >> at) & ((1 << n) - 1)).astype(np.int64)
+        home |= (2 * ones > n).astype(np.int64) << i
+        for word in range(1 << len(REPEATED)):
+            excess[:, word] += np.maximum(0, (n - ones if (word >> i) & 1 else ones) - n // 2)
+        at += n
+    return home, np.minimum(excess, radius + 1).astype(np.uint8)
+
+
+def _parts(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = fp.view(np.int64) if fp.dtype == _U else fp
-    return v & MASK, (v >> LENGTH) & MASK
+    return v & MASK, (v >> LENGTH) & MASK, (v >> 2 * LENGTH) & ((1 << sum(REPEATED)) - 1)
 
 
 def home_anchors(fp: np.ndarray) -> np.ndarray:
-    """The anchor within COVERING bits of each fingerprint in both halves, as 12 bits of either code word."""
+    """The anchor within the covering radius of each fingerprint in every part: 12 bits of either Golay word and a bit of each repetition."""
     pattern, _, of = _errors(RADIUS)
-    x, y = ((v ^ pattern[of[_remainder(v), 0]]) >> 11 for v in _halves(fp))
-    return (x << 12) | y
+    *golay, rest = _parts(fp)
+    x, y = ((v ^ pattern[of[_remainder(v), 0]]) >> 11 for v in golay)
+    return (((x << 12) | y) << len(REPEATED)) | _repeated(RADIUS)[0][rest]
 
 
 def near_anchors(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) of all anchors within COVERING bits in both halves, and ``radius`` more in the halves together."""
+    """(row, anchor) of all anchors within the covering radius in every part, and ``radius`` bits more in the parts together."""
     pattern, excess, of = _errors(radius)
-    x, y = _halves(fp)
+    x, y, rest = _parts(fp)
     sx, sy = _remainder(x), _remainder(y)
     n = of[sy, 1 + radius]
     row = np.repeat(np.arange(len(fp)), n)
@@ -180,8 +198,11 @@ def near_anchors(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.n
     n = of[sx[row], 1 + radius - used]
     again = np.repeat(np.arange(len(row)), n)
     at = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n) + of[sx[row[again]], 0]
-    row = row[again]
-    return row, (((x[row] ^ pattern[at]) >> 11) << 12) | low[again]
+    row, used = row[again], used[again] + excess[at]
+    golay = ((((x[row] ^ pattern[at]) >> 11) << 12) | low[again]) << len(REPEATED)
+    beyond = _repeated(radius)[1][rest]
+    kept = [(np.flatnonzero(used + beyond[row, word] <= radius), word) for word in range(1 << len(REPEATED))]
+    return np.concatenate([row[k] for k, _ in kept]), np.concatenate([golay[k] | word for k, word in kept])
 
 
 def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +216,8 @@ def _replicated(occupied, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = occupied.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                fp = batch.column("fp").slice(i, 4096).to_numpy()
+            for i in range(0, batch.num_rows, 2048):
+                fp = batch.column("fp").slice(i, 2048).to_numpy()
                 row, anchor = near_anchors(fp, radius)
                 on = (bitmap[anchor >> 3] >> (anchor & 7).astype(np.uint8)) & 1 == 1
                 row, anchor = row[on], anchor[on]
@@ -264,7 +285,7 @@ def links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFra
     """(a, b): stars that connect the distinct fingerprints (column fp) exactly as the links of up to ``radius`` bits do."""
     spark = classes.sparkSession
     homes = scratch.write(classes.select("fp").mapInArrow(_at_home, "fp long, anchor long"), "homes")
-    bits = homes.groupBy(F.bitmap_bucket_number(F.col("anchor") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("anchor") + 1)).alias("bits")).collect()  # 512 rows of 4 KB at most
+    bits = homes.groupBy(F.bitmap_bucket_number(F.col("anchor") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("anchor") + 1)).alias("bits")).collect()  # 4096 rows of 4 KB at most
     bitmap = np.zeros(ANCHORS >> 3, dtype=np.uint8)
     for r in bits:
         bitmap[(r.bucket - 1) << 12 : r.bucket << 12] = np.frombuffer(r.bits, np.uint8)
