@@ -115,6 +115,14 @@ def fuzzy_decision(spark, d):
     return fuzzy.title_pairs(fuzzy.profiles(_fuzzy(spark, d)), Scratch(spark, "fuzzy"))
 
 
+@register("fuzzy_merge_step", _LINKED + f""", sym AS (SELECT src_uri AS u, dst_uri AS v FROM linked UNION SELECT dst_uri, src_uri FROM linked),
+reach(n, m) AS (SELECT u, u FROM sym UNION SELECT r.n, s.v FROM reach r JOIN sym s ON r.m = s.u), comp AS (SELECT n, min(m) AS c FROM reach GROUP BY n)
+SELECT uri, coalesce(c, uri) AS component FROM {B.text(_FUZZY)} AS f LEFT JOIN comp ON n = uri""")
+def fuzzy_merge_step(spark, d):
+    """Clusters after one round of links by title."""
+    return fuzzy.merge_step(_fuzzy(spark, d), Scratch(spark, "fuzzy"))[0].select("uri", "component")
+
+
 @register("fuzzy_merged_clusters")
 def fuzzy_merged_clusters(spark, d):
     """To the fixed point: merged clusters may link further through guards that others of them do not state."""
