@@ -11,8 +11,10 @@ from typing import NamedTuple
 
 import numpy as np
 
+from mediafuse.llm.html_layouts import NAMES
+
 #: A quoted value holds no "<", or else ends before a space, a slash or the tag's end; a tag whose quotes fit neither ends at its first ">".
-_QUOTED = r"""\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}\"(?=[\s/>])|'[^']{0,2000}'(?=[\s/>])"""
+_QUOTED = r"""\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])"""
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^>\"']|{_QUOTED})*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements whose whole content is no text of the page. Fixed values.
@@ -113,6 +115,11 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+#: Parts of names that say what an element is, and their beginnings; other parts are left out, since they would share buckets with these.
+_KNOWN = frozenset(p.lower() for names in NAMES.values() for n in names for p in _PART.findall(n))
+_BEGINNINGS = frozenset(p[:4] for p in _KNOWN if len(p) >= 3)
+
+
 def _bucket(s: str, size: int) -> int:
     return zlib.crc32(s.encode()) % size
 
@@ -123,7 +130,7 @@ def _element(tag: str, names: str, near: int) -> tuple[int, ...]:
     keys = [f"t:{tag}", f"n{near}:{tag}"]
     for part in _PART.findall(re.sub(r"data-y=\S*", "", names)):
         part = part.lower()
-        keys += [f"c:{part}", f"p:{part[:4]}"]
+        keys += [f"c:{part}"] * (part in _KNOWN) + [f"p:{part[:4]}"] * (part[:4] in _BEGINNINGS)
     return tuple(_bucket(k, PATH_DIM) for k in keys)
 
 

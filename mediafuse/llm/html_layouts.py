@@ -40,6 +40,8 @@ class Pages:
         self.syllables = ["".join(self.r.choice("bcdfghjklmnprstvwz") * (self.r.random() < 0.8) + self.r.choice("aeiouäéöü" if self.r.random() < 0.2 else "aeiou")
                                   + self.r.choice("nrstl") * (self.r.random() < 0.4)) for _ in range(400)]
 
+        self.names = "own"
+
     def word(self) -> str:
         return "".join(self.r.choice(self.syllables) for _ in range(self.r.choice((1, 1, 2, 2, 3))))
 
@@ -58,9 +60,17 @@ class Pages:
                 words[i - 1] += self.r.choice(".,.!.")
         return " ".join(words) + ("." if n > 4 and self.r.random() < 0.8 else "")
 
+    def invented(self) -> str:
+        """A name that says nothing, as tools make them."""
+        r = self.r
+        return r.choice((lambda: f"{r.choice('abcdefghkmpqstxyz')}{r.choice(('', '-', '_'))}{r.randint(1, 99)}", lambda: r.choice(("css", "sc", "jsx", "_", "e")) + "-" + "".join(r.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(r.randint(4, 7))),
+                         self.word, lambda: f"{self.word()}-{self.word()}", lambda: f"{self.word()}_{r.randint(1, 9)}"))()
+
     def name(self, kind: str) -> str:
-        if self.r.random() < (0.12 if kind != "article" else 0.3):
+        if self.names == "none" or self.r.random() < (0.12 if kind != "article" else 0.3):
             return ""
+        if self.names == "invented" or kind == "article" and self.r.random() < 0.25:
+            return f' {self.r.choice(["class", "id", "class"])}="{self.invented()}"'
         n = self.r.choice(NAMES[kind])
         if self.r.random() < 0.2:
             n += self.r.choice(["-1", " clearfix", "-wrap", "_inner", " col-8", "-v2", " " + self.r.choice(NAMES["wrap"])])
@@ -69,7 +79,7 @@ class Pages:
     def other(self, kind: str) -> str:
         r, tag = self.r, self.r.choice(TAGS[kind])
         name = self.name(kind)
-        if tag in ("div", "p", "ul", "ol", "section") and not name:
+        if tag in ("div", "p", "ul", "ol", "section") and not name and self.names == "own":
             name = f' class="{r.choice(NAMES[kind])}"'
         size = r.choice((1, 3, 8, 20)) if kind not in ("comment", "ad", "footer", "side", "notice") else r.choice((2, 6, 15, 40))
         link = lambda s: f'<a href="/{s[:4]}">{s}</a>'
@@ -129,15 +139,18 @@ class Pages:
 
     def page(self) -> str:
         r = self.r
+        self.names = r.choice(("own", "own", "own", "own", "invented", "invented", "none"))
         body = self.content()
         for kind, p in (("ad", 0.25), ("share", 0.25), ("side", 0.15), ("form", 0.1), ("notice", 0.1)):
             if r.random() < p:
                 body.insert(r.randint(0, len(body)), self.other(kind))
         if r.random() < 0.15:
             body.append(self.other("comment"))
-        tag = r.choice(("article", "article", "main", "div", "section", "div"))
+        tag = r.choice(("article", "article", "main", "div", "section", "div", "td", ""))
         name = self.name("article") if tag in ("article", "main") or r.random() < 0.9 else ""
-        middle = f"<{tag}{name}>{''.join(body)}</{tag}>"
+        middle = "".join(body)
+        if tag:
+            middle = f"<{tag}{name}>{middle}</{tag}>" if tag != "td" else f"<table{name}><tr><td>{middle}</td></tr></table>"
         while r.random() < 0.3:
             wrap = r.choice(("div", "div", "section", "main"))
             middle = f"<{wrap}{self.name(r.choice(('wrap', 'article')))}>{middle}</{wrap}>"

@@ -1,5 +1,7 @@
 """Nearest neighbours, page extraction and the pipeline."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from mediafuse.llm import block_labeller, html_extract, nearest
 from mediafuse.llm.html_blocks import blocks
+from mediafuse.llm.html_layouts import Pages
 
 
 def brute(ids, x, k):
@@ -89,6 +92,41 @@ def test_labeller_on_pages_it_has_not_seen():
     assert right.mean() > 0.98
 
 
+@pytest.mark.parametrize("names", ["invented", "none"])
+def test_labeller_on_layouts_without_names_that_tell(names, monkeypatch):
+    """Held-out pages on which every element has an invented name, or none, the article's wrapper included."""
+    class Unnamed(Pages):
+        def page(self):
+            choice, self.r.choice = self.r.choice, lambda c: names if "own" in c else choice(c)
+            try:
+                return super().page()
+            finally:
+                self.r.choice = choice
+    monkeypatch.setattr(block_labeller, "Pages", Unnamed)
+    pages = block_labeller.labelled_pages(150, 777)
+    found = block_labeller.trained().predict([b for b, _ in pages])
+    right = np.concatenate([(p > 0.5) == (y > 0.5) for p, (_, y) in zip(found, pages, strict=True)])
+    assert right.mean() > 0.95
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="x-7">', '<div class="c1">', '<div id="css-1ab9zq">', "<table><tr><td>", "<div>", ""])
+def test_an_article_is_kept_whatever_it_lies_in(wrapper):
+    story = "<h1>Reko lami doto sa</h1>" + "".join(f"<p>Paragraph {i} of the story runs on for a good number of words, as they do in prose.</p>" for i in range(2))
+    links = "".join(f"<li><a href=/{i}>Tulo {i}</a></li>" for i in range(6))
+    close = {"<t": "</td></tr></table>", "<d": "</div>", "": ""}[wrapper[:2]]
+    page = blocks(f'<html><body><div class="menu"><ul>{links}</ul></div>{wrapper}{story}{close}<div><ul>{links}</ul></div><div class="footer">Copyright 2024</div></body></html>')
+    kept = block_labeller.trained().predict([page])[0] > 0.5
+    assert kept.tolist() == [False] * 6 + [True] * 3 + [False] * 7
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_main_text_of_the_table_is_what_lies_in_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract(pages, keep=["page_id"]).collect()}
+    same = [got[r.page_id] == " ".join(b.text for b in blocks(r.html or "") if any(t == "article" and "comment" not in n for t, n in b.path)) for r in pages.collect()]
+    assert len(same) == len(got) and sum(same) >= 0.99 * len(same)
+
+
 def test_long_pages_are_labelled_as_others(monkeypatch):
     page = blocks("<nav><a>Home</a></nav><article>" + "".join(f"<p>A sentence number {i} of the story goes here.</p>" for i in range(60)) + "</article><footer>&copy; x</footer>")
     whole = block_labeller.trained().predict([page])[0]
@@ -101,6 +139,8 @@ def test_blocks_of_broken_markup():
     assert text('<p class="x>Hello world</p><p>b') == ["Hello world", "b"] and text('<p class="x>Hello <a href="y">link</a></p>') == ["Hello link"]
     assert text('<p title="a > b">c</p><p data-h="<b>x</b>">d</p>') == ["c", "d"] and text("<select>" * 20000 + "<p>e") == ["e"]
     assert [b.text for b in blocks("a<p>b<p>c</div>d<br>e <i>f</i>g<script>no<td>")] == ["a", "b", "c", "d e fg"]
+    for n in (10, 1900, 2100, 100_000):
+        assert text(f'<p><img alt="x > y {"z " * n} < q">a <b title=\'< {"z" * n} >\'>b</b></p>') == ["a b"]
     assert blocks("") == [] and blocks("<!-- x") == [] and [b.text for b in blocks("<p>1 < 2 &lt; 3</p>")] == ["1 < 2 < 3"]
 
 
