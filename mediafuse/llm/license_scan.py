@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediafuse.llm.columns import col
+from mediafuse.llm.columns import col, free
 from mediafuse.llm.license_rules import gate, rules
 from mediafuse.llm.spans import occurrences, uncontained
 
@@ -49,22 +49,23 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Whole texts are scanned; the time for a text grows with its length and its matches. Repeated rows give
     equal rows; columns of the new names are replaced, others pass.
     """
-    lined = docs.withColumn("_line", word_line(F.coalesce(col(text_col), F.lit("")))).drop(text_col)
-    line = F.col("_line")
-    base = F.concat(*(_base_places(line, phrase, label) for phrase, label in BASE.items()))
+    new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+    rest = [c for c in docs.columns if c != text_col and c not in new]
+    line_col, base_col, spans_col, kept_col, n_col = free(docs, "line", "base", "spans", "kept", "n")
+    line, base, spans, kept = map(F.col, (line_col, base_col, spans_col, kept_col))
+    lined = docs.select(*map(col, rest), word_line(F.coalesce(col(text_col), F.lit(""))).alias(line_col))
+    places = F.concat(*(_base_places(line, phrase, label) for phrase, label in BASE.items()))
     possible = F.rlike(line, F.lit(gate()))
-    found = lined.withColumns({
-        "_base": base, "_spans": F.when(possible, _rule_spans(line).cast(_SPANS)).otherwise(F.array().cast(_SPANS)),
-        "n_words": F.when(line == " ", 0).otherwise(_spaces(line) - 1).cast("long")}).drop("_line")
-    kept = found.withColumn("_kept", F.when(F.size("_spans") > 1, uncontained(F.col("_spans"), _SPAN)).otherwise(F.col("_spans"))).drop("_spans")
-    starts = F.transform("_base", lambda b: b.start)
-    base_labels = F.transform("_base", lambda b: b.label)
-    return kept.withColumns({
-        "n_base": F.size("_base").cast("long"), "first_word": F.array_min(starts).cast("long"), "last_word": F.array_max(starts).cast("long"),
-        "base_labels": F.array_join(F.array_sort(F.array_distinct(base_labels)), ","),
-        "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, F.transform("_kept", lambda d: d.label)))), ","),
-        "score": F.coalesce(F.array_max(F.transform("_kept", lambda d: d.confidence)), F.lit(0)) / F.lit(100.0),
-        "detections": F.array_join(F.transform(F.array_sort("_kept"), lambda d: F.concat_ws(":", d.label, d.start, d.end)), ",")}).drop("_base", "_kept")
+    found = lined.select(
+        *map(col, rest), places.alias(base_col), F.when(possible, _rule_spans(line).cast(_SPANS)).otherwise(F.array().cast(_SPANS)).alias(spans_col),
+        F.when(line == " ", 0).otherwise(_spaces(line) - 1).cast("long").alias(n_col))
+    found = found.select(*map(col, rest), n_col, base_col, F.when(F.size(spans) > 1, uncontained(spans, _SPAN)).otherwise(spans).alias(kept_col))
+    starts, base_labels = F.transform(base, lambda b: b.start), F.transform(base, lambda b: b.label)
+    made = (F.col(n_col), F.size(base).cast("long"), F.array_min(starts).cast("long"), F.array_max(starts).cast("long"), F.array_join(F.array_sort(F.array_distinct(base_labels)), ","),
+            F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, F.transform(kept, lambda d: d.label)))), ","),
+            F.coalesce(F.array_max(F.transform(kept, lambda d: d.confidence)), F.lit(0)) / F.lit(100.0),
+            F.array_join(F.transform(F.array_sort(kept), lambda d: F.concat_ws(":", d.label, d.start, d.end)), ","))
+    return found.select(*map(col, rest), *(c.alias(n) for c, n in zip(made, new, strict=True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

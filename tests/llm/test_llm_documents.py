@@ -303,13 +303,14 @@ def test_many_matches_in_one_text(spark, scratch):
 
 def test_license_words_places_and_containment(spark):
     texts = ["under the mit license under the MIT License. Apache License, Version 2 cc-by/nc  cc by nc é under thé mit license", "Copyright 2020 x. All rights reserved. SPDX-License-Identifier: Apache-2.0; GNU Affero General Public License v3", None, "", "...", "licensed under the GNU Lesser General Public License version 2.1", "mit license " * 300, "plain words"]
-    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("labels", F.lit("clash"))).collect()}
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("labels", "_line", "line", "_base", "_kept", "spans", "n", "my.col")})).collect()}
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
         hits = sorted((j, lab) for p, lab in phrases.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split())
         r = got[i]
+        assert all(r[c] == "clash" for c in ("_line", "line", "_base", "_kept", "spans", "n", "my.col"))
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(hits), ",".join(sorted({h[1] for h in hits})))
         assert (r.first_word, r.last_word) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
