@@ -5,7 +5,9 @@ signed axis nearest to the result. A query probes the PROBES nearest axes of eac
 what it meets there is ranked by the exact inner product. Buckets and their queries are dealt out in
 blocks of bounded size, so a bucket that holds a third of all vectors is the work of many tasks. Blocks
 return their best rows per query, which then meet by query. Vectors are hashed by direction, whatever
-their norms; queries that find too few rows meet all vectors of their length.
+their norms; since a long vector can have a large inner product with a query that it is far from in angle,
+the longest tenth of the vectors of each length is one more bucket that every query meets. Queries that
+find too few rows meet all vectors of their length.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from mediafuse.llm.columns import col
 from mediafuse.operators.scratch import Scratch
 
 TABLES, PROBES, NEAREST = 8, 16, 20
+#: The share of vectors, those of largest norm, that all queries meet.
+LONGEST = 0.1
 #: Vectors and queries of a block at most, about.
 BLOCK_VECTORS, BLOCK_QUERIES = 1024, 512
 SEED = 20240607
@@ -136,9 +140,18 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries, k: int = NEAREST, id_
     v = col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(col(id_col).isNotNull() & sound).select(col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    rows = scratch.write(rows, "rows")
     coded = scratch.write(rows.mapInArrow(_coded(), "is_query boolean, table int, code int, dim int, id long, v array<double>"), "coded")
 
-    found = scratch.write(_met(coded, scratch, k), "found")
+    # The bucket of the longest: those above the percentile of their dimension, and all queries of it. Equal norms are not above it.
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    sized = rows.withColumns({"table": F.lit(-1), "code": F.lit(0), "dim": F.size("v"), "norm": norm})
+    cut = sized.groupBy("dim").agg(F.percentile_approx("norm", 1 - LONGEST, 10_000).alias("cut"))
+    columns = ["is_query", "table", "code", "dim", "id", "v"]
+    long = sized.join(cut, "dim").where(F.col("norm") > F.col("cut")).withColumn("is_query", F.lit(False)).select(*columns)
+    longest = scratch.write(long.unionByName(sized.where("is_query").select(*columns)), "longest")
+
+    found = scratch.write(_met(coded.unionByName(longest), scratch, k), "found")
 
     # Queries with fewer than k rows: their exact rows, from all vectors of their length.
     enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))

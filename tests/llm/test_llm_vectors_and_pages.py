@@ -60,6 +60,20 @@ def test_unequal_norms_and_few_vectors_keep_recall(spark, scratch):
         assert sum(len(found[q] & set(w)) for q, w in want.items()) >= least * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0, 2.0])
+def test_recall_whatever_the_spread_of_norms(spark, scratch, spread):
+    """Random directions, the hardest for an index by angle, with norms of that lognormal spread."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((3000, 64))
+    x *= (np.exp(spread * r.standard_normal(3000)) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in nearest.nearest(df, scratch, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    want = brute(np.arange(3000), x, 20)
+    assert np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
+
+
 def test_vectors_that_take_no_part(spark, scratch):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, []), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0])]
