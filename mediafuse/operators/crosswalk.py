@@ -34,12 +34,13 @@ def agreed_ids(databases: list[DataFrame], key: str = "mal", others: tuple[str,
 
 
 def clear_ambiguous(rows: DataFrame, columns: tuple[str, ...] = CATALOGUES[1:], key: str = "mal") -> DataFrame:
-    """Clears values that several rows claim, on all of them and all judged before any is cleared; rows left with nothing go."""
-    out = rows
-    for c in columns:
-        twice = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(c).alias("_twice"))
-        out = out.join(twice, F.col(c) == F.col("_twice"), "left").withColumn(c, F.when(F.col("_twice").isNull(), F.col(c))).drop("_twice")
-    return out.where(F.coalesce(*columns).isNotNull())
+    """(key, columns): clears values that several keys claim, on all of them and all judged before any is cleared; keys left with nothing go.
+
+    A value's claims meet by (column, value) and are counted before they are shuffled; no table is joined to itself.
+    """
+    claims = rows.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("long").alias("v")) for c in columns))).alias("_of")).select(key, "_of.c", "_of.v").where("v is not null")
+    sole = claims.groupBy("c", "v").agg(F.count("*").alias("n"), F.min(key).alias(key)).where("n = 1")
+    return sole.groupBy(key).agg(*(F.max(F.when(F.col("c") == c, F.col("v"))).alias(c) for c in columns))
 
 
 def merge_ids(databases: list[DataFrame], key: str = "mal", others: tuple[str, ...] = CATALOGUES[1:]) -> DataFrame:
@@ -66,12 +67,14 @@ def delta_decode(rows: DataFrame, position: str, segment: Column, delta: str = "
 
 def catalogue_refs(references: DataFrame, uri: str = "uri", own_origin: str = "offline") -> DataFrame:
     """references with (catalogue, ref): the catalogue id a uri names, also through ``own:catalogue-id``."""
-    origin, ident = uris.origin_of(F.col(uri)), uris.id_of(F.col(uri))
-    borrowed = "^([a-z]+)-([0-9]+)$"
-    own = origin == own_origin
-    out = references.select("*", F.when(own, F.regexp_extract(ident, borrowed, 1)).otherwise(origin).alias("catalogue"),
-                            F.when(own, F.regexp_extract(ident, borrowed, 2)).otherwise(ident).try_cast("long").alias("ref"))
-    return out.where(F.col("catalogue").isin(*CATALOGUES) & (F.col("ref") > 0))
+    parts = F.split(F.col(uri), ":", 3)  # origin and id; what follows a second colon is no part of the id
+    # Generated rows are not inlined: a uri is taken apart once, and not again in each condition on its parts.
+    split = references.select("*", F.explode(F.array(F.struct(parts[0].alias("origin"), F.get(parts, 1).alias("id")))).alias("_of"))
+    own, ident = F.col("_of.origin") == own_origin, F.col("_of.id")
+    at = F.when(own, F.instr(ident, "-")).otherwise(0)
+    named = F.struct(F.when(own, F.substring(ident, F.lit(1), at - 1)).otherwise(F.col("_of.origin")).alias("catalogue"), F.substring(ident, at + 1, F.length(ident)).alias("ref"))
+    out = split.select(*references.columns, F.explode(F.array(named)).alias("_of")).where(F.col("_of.catalogue").isin(*CATALOGUES) & F.col("_of.ref").rlike("^[0-9]+$"))
+    return out.select(*references.columns, "_of.catalogue", F.col("_of.ref").try_cast("long").alias("ref")).where("ref > 0")
 
 
 def unpivoted(index: DataFrame) -> DataFrame:
