@@ -205,8 +205,10 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, id_col: str = "doc_id", t
     df[list(totals)] = list(totals.values())
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     statistics = docs.sparkSession.sparkContext.broadcast((idf, max(1.0, tokens / max(1, n))))
-    routed = ids.mapInArrow(_routed(statistics), "doc_id long, ids binary, t1 long, t2 long, salt long").repartitionByRange("t1", "t2", "salt")
-    return routed.sortWithinPartitions("t1", "t2", "salt", "doc_id").select("doc_id", "ids").mapInArrow(_packed(statistics), COLUMNS)
+    # Written, so that sampling for the ranges reads three columns and the terms are weighed once.
+    routed = scratch.write(ids.mapInArrow(_routed(statistics), "doc_id long, ids binary, t1 long, t2 long, salt long"), "routed")
+    scratch.drop(ids)
+    return routed.repartitionByRange("t1", "t2", "salt").sortWithinPartitions("t1", "t2", "salt", "doc_id").select("doc_id", "ids").mapInArrow(_packed(statistics), COLUMNS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
