@@ -85,11 +85,15 @@ def _with_lists(scalars: DataFrame, members: DataFrame, group: list[str], extra:
     return out
 
 
-def fuse_media(members: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def fuse_media(members: DataFrame, scratch: Scratch | None = None, fields: list[str] | None = None) -> DataFrame:
     """Golden media per component: scalars, categories and all list columns that members have.
 
+    fields: what a request selects; a list or scalar that it leaves out is neither read, exploded nor joined.
     With scratch the members are written once, by component, and every part reads that table.
     """
+    if fields is not None:
+        fusible = {*MEDIA_SCALARS, *LISTS, "categories"}
+        members = members.select(*(c for c in members.columns if c in fields or c not in fusible))
     sized = members.join(members.groupBy("component").agg(F.count("*").alias("members")), "component")
     sized = scratch.write(sized, "sized") if scratch else sized
     extra = [reconcile_categories(sized)] if "categories" in members.columns else []
@@ -108,6 +112,16 @@ def group_episodes(episodes: DataFrame, season_aware: bool = False) -> DataFrame
     return out.withColumns({"media_uri": F.col("uri"), "media_component": F.col("component")})
 
 
+def detail(members: DataFrame, episodes: DataFrame, fields: list[str], scratch: Scratch | None = None) -> DataFrame:
+    """Golden media with the fields that a request selects; ``episodes`` (number and uri, in order) are fused only if it selects them."""
+    media = fuse_media(members, scratch, fields)
+    if "episodes" not in fields:
+        return media
+    rows = group_episodes(episodes.select("component", "uri", "origin", "score", "episode_number"))
+    listed = rows.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("episode_number", "uri"))).alias("episodes"))
+    return media.join(listed, "component", "left").withColumn("episodes", F.coalesce("episodes", F.array().cast(listed.schema["episodes"].dataType)))
+
+
 def movie_episodes(media: DataFrame) -> DataFrame:
     """A movie as a series of one episode: id ``<id>-1``, number 1."""
     return media.where(F.array_contains("categories", "MOVIE")).select(

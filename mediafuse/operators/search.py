@@ -2,25 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediafuse.functions import similarity, text
+from mediafuse.operators.scratch import Scratch
 
 SEARCH_THRESHOLD, MATCH_THRESHOLD = 0.7, 0.5
 
 
-def relevance(media: DataFrame, query: str | Column, titles: str = "titles", key: str = "component") -> DataFrame:
-    """(key, relevance): the best search score over the titles; equal titles are aligned once."""
+def _pieces(t: Column) -> Column:
+    """The pairs of neighbouring letters of a stripped title, equal ones numbered; the letters of one of up to two."""
+    n, q = F.length(t), F.when(F.length(t) <= 2, 1).otherwise(2)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(t, i, q))
+    return F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def _letters(t: Column) -> Column:
+    return F.transform(F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")), lambda c: F.concat(c, F.lit("#1")))
+
+
+def _least_shared(q: Column, threshold: float) -> Column:
+    """How many pairs of neighbouring letters a title must share with the stripped query to reach the threshold.
+
+    Of m letters that match and e errors, 2 * m - e >= 2 * threshold * n, the letters lie in e + 1 runs at most, which hold
+    m - e - 1 pairs: (2 * threshold - 1) * n - 1 or more, as m <= n. Queries of up to two letters share a letter.
+    """
+    return F.greatest(F.lit(1), F.ceil((2 * threshold - 1) * F.length(q) - 1 - 1e-9)).cast("int")
+
+
+def title_index(titles: DataFrame, scratch: Scratch, column: str = "title") -> DataFrame:
+    """(g, t): the written index of the different stripped titles by their letters and pairs of letters."""
+    own = titles.select(text.strip_title(F.col(column)).alias("t")).where("t <> ''").distinct()
+    grams = F.array_union(_letters(F.col("t")), F.when(F.length("t") > 2, _pieces(F.col("t"))).otherwise(F.array().cast("array<string>")))
+    return scratch.write(own.select(F.explode(grams).alias("g"), "t"), "title-index")
+
+
+def candidates(queries: DataFrame, index: DataFrame, scratch: Scratch, threshold: float = SEARCH_THRESHOLD) -> DataFrame:
+    """(q, t): the different stripped queries and the titles that can reach the threshold, all of them.
+
+    Of a query's pairs, the rarest (all but least - 1) find the titles, since a title that lacks these shares too few; then
+    the pairs that the two share are counted.
+    """
+    asked = queries.select(text.strip_title(F.col("query")).alias("q")).where("q <> ''").distinct().select("q", _pieces(F.col("q")).alias("own"), _least_shared(F.col("q"), threshold).alias("least"))
+    often = index.groupBy("g").agg(F.count("*").alias("n"))
+    each = scratch.write(asked.select("q", "own", "least", F.explode("own").alias("g")).join(often, "g", "left"), "asked")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("n", F.lit(0)), "g"))
+    first = each.withColumn("rank", rank).where(F.col("rank") <= F.size("own") - F.col("least") + 1)
+    met = first.join(index, "g").select("q", "t", "own", "least").distinct()
+    shared = F.when(F.length("q") <= 2, F.size(F.array_intersect("own", _letters(F.col("t"))))).otherwise(F.size(F.array_intersect("own", _pieces(F.col("t")))))
+    return scratch.write(met.where(shared >= F.col("least")).select("q", "t"), "candidates")
+
+
+def search_many(titles: DataFrame, queries: DataFrame, scratch: Scratch, key: str = "component", threshold: float = SEARCH_THRESHOLD) -> DataFrame:
+    """(query_id, key, relevance) at or above the threshold, for all queries (query_id, query) at once.
+
+    titles: key, title. Titles are aligned once for each different query that they can answer, as an index tells.
+    """
+    index = title_index(titles, scratch)
+    scored = candidates(queries, index, scratch, threshold).withColumn("relevance", similarity.search_score(F.col("q"), F.col("t"))).where(F.col("relevance") >= threshold)
+    scored = scratch.write(scored, "scored")
+    asked = queries.select("query_id", text.strip_title(F.col("query")).alias("q"))
+    named = titles.select(key, text.strip_title(F.col("title")).alias("t")).distinct()
+    return asked.join(scored, "q").join(named, "t").groupBy("query_id", key).agg(F.max("relevance").alias("relevance"))
+
+
+def relevance(media: DataFrame, query: str | Column, titles: str = "titles", key: str = "component", least: float = 0.0) -> DataFrame:
+    """(key, relevance): the best search score over the titles; equal titles are aligned once.
+
+    With ``least`` only relevances at or above it are wanted, and titles that cannot reach it are not aligned.
+    """
     q = F.lit(query) if isinstance(query, str) else query
     each = media.select(key, F.explode_outer(titles).alias("t")).select(key, F.col("t.title").alias("title"))
-    scored = each.select(F.coalesce("title", F.lit("")).alias("_t")).distinct().withColumn("s", similarity.search_score(q, F.col("_t")))
+    scored = each.select(F.coalesce("title", F.lit("")).alias("_t")).distinct()
+    if least > 0.5:
+        asked, own = text.strip_title(q), text.strip_title(F.col("_t"))
+        shared = F.when(F.length(asked) <= 2, F.size(F.array_intersect(_pieces(asked), _letters(own)))).otherwise(F.size(F.array_intersect(_pieces(asked), _pieces(own))))
+        scored = scored.where((asked != "") & (own != "") & (shared >= _least_shared(asked, least)))
+    scored = scored.withColumn("s", similarity.search_score(q, F.col("_t")))
     return each.join(scored, F.coalesce("title", F.lit("")) == F.col("_t")).groupBy(key).agg(F.max("s").alias("relevance"))
 
 
 def search_page(media: DataFrame, query: str, titles: str = "titles", key: str = "component", threshold: float = SEARCH_THRESHOLD) -> DataFrame:
     """media with relevance at or above the threshold; order by ``search_order``."""
-    return media.join(relevance(media, query, titles, key).where(F.col("relevance") >= threshold), key)
+    return media.join(relevance(media, query, titles, key, threshold).where(F.col("relevance") >= threshold), key)
 
 
 def search_order() -> list[Column]:
@@ -42,6 +107,18 @@ def pick_title_match(requests: DataFrame, candidates: DataFrame, threshold: floa
     return best.select("query_id", "b.candidate_id", "b.score")
 
 
+def top_then_gate(requests: DataFrame, candidates: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """(query_id, rung, candidate_id, score): of the first rung whose best hit is like the request's own title, that hit.
+
+    A rung's one hit is the first by position, as the catalogue ranks them; one that is not like the title ends its rung,
+    and the next shorter query is tried. requests: query_id, query; candidates: rung_query, pos, candidate_id, title.
+    """
+    hits = candidates.groupBy("rung_query").agg(F.min_by(F.struct("candidate_id", "title"), "pos").alias("hit"))
+    scored = ladder(requests).join(hits, "rung_query").withColumn("score", similarity.title_similarity(F.col("query"), F.col("hit.title"))).where(F.col("score") >= threshold)
+    best = scored.groupBy("query_id").agg(F.min_by(F.struct("rung", "hit.candidate_id", "score"), "rung").alias("b"))
+    return best.select("query_id", "b.rung", "b.candidate_id", "b.score")
+
+
 def first_acceptable(requests: DataFrame, candidates: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """(query_id, candidate_id, score): the first candidate by position at or above the threshold."""
     scored = candidates.join(requests.select("query_id", "query"), "query_id").withColumn(

@@ -65,7 +65,7 @@ full_page AS (SELECT p.*, c.categories, t.titles FROM page p JOIN (SELECT DISTIN
 SELECT uri, members, score, popularity, status, categories, titles FROM full_page """
 
 
-PAGE_SQL = _PAGE
+PAGE_SQL, TITLES_SQL, CATEGORIES_SQL, FIRST_SQL = _PAGE, _TITLES, _CATEGORIES, _FIRST
 
 
 def page_columns(golden):

@@ -10,11 +10,6 @@ from mediafuse.plans import bindings as B
 from mediafuse.plans.catalog import register
 
 
-def values(rows: list[str], column: str = "title") -> str:
-    """A list of texts as a relation with their places."""
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.replace(chr(39), chr(39) * 2)}')" for i, r in enumerate(rows)) + f") AS v(n, {column})"
-
-
 _URIS = "SELECT p_partkey, concat(CASE WHEN p_partkey % 11 = 0 THEN '' ELSE lower(p_brand) END, ':', CAST(p_partkey AS STRING), CASE p_partkey % 7 WHEN 0 THEN ':x' WHEN 1 THEN '/y' WHEN 2 THEN '(z)' ELSE '' END) AS uri FROM {part}"
 
 
@@ -102,8 +97,13 @@ def has_letter(spark, d):
     return B.relation(spark, d, B.TITLES).select("doc_id", text.has_letter(F.col("title")).alias("has_letter"), F.length("title").cast("long").alias("letters"))
 
 
-SEASON_TITLES = ["Show Season 3", "Show 2nd Season", "Show 4th Season 2-part", "第二季 Show", "Show 第十二期", "Show 第2期", "シーズン3 Show", "Show 3기", "Show S2", "あS4", "Show XS2", "Seasons 2",
-                 "Show Part 2", "Show Cour 12", "Show 二十期", "Show 第二十一季", "Show 第零季", "Show 2026", "Show season 007", "12話", "Show 1st part", "Show S123", "第三季 S2"]
+_CHINESE = """concat(CASE WHEN p_size >= 20 THEN substr('〇一二三四五六七八九', CAST(floor(p_size / 10) AS INTEGER) + 1, 1) ELSE '' END, CASE WHEN p_size >= 10 THEN '十' ELSE '' END, CASE WHEN p_size % 10 > 0 THEN substr('〇一二三四五六七八九', CAST(p_size % 10 AS INTEGER) + 1, 1) ELSE '' END)"""
+_N = "CAST(p_size AS STRING)"
+#: Names of parts with a season in one spelling or another, or with something that only looks like one.
+SEASONED = f"""SELECT p_partkey AS n, CASE p_partkey % 16 WHEN 0 THEN concat(p_name, ' Season ', {_N}) WHEN 1 THEN concat(p_name, ' ', {_N}, 'th Season') WHEN 2 THEN concat('第', {_CHINESE}, '季 ', p_name)
+  WHEN 3 THEN concat(p_name, ' 第', {_CHINESE}, '期') WHEN 4 THEN concat('シーズン', {_N}, ' ', p_name) WHEN 5 THEN concat(p_name, ' ', {_N}, '기') WHEN 6 THEN concat(p_name, ' S', {_N})
+  WHEN 7 THEN concat(p_name, ' XS', {_N}) WHEN 8 THEN concat(p_name, ' Part ', {_N}) WHEN 9 THEN concat('Cour ', {_N}, ' ', p_name) WHEN 10 THEN concat(p_name, ' 第', {_N}, '話') WHEN 11 THEN concat(p_name, ' 20', {_N})
+  WHEN 12 THEN concat(p_name, ' season 00', {_N}) WHEN 13 THEN concat(p_name, ' 第零季') WHEN 14 THEN concat(p_name, ' ', {_N}, 'rd cour S7') ELSE concat('Seasons ', {_N}, ' ', p_name) END AS title FROM {{part}}"""
 _LAST = lambda x: f"(CASE WHEN {x} = '' THEN 0 ELSE coalesce(instr('〇一二三四五六七八九', right(replace({x}, '零', '〇'), 1)) - 1, 0) END)"
 _CJK = lambda x: f"""(CASE WHEN {x} = '' THEN NULL WHEN regexp_matches({x}, '^[0-9]+$') THEN nullif(CAST({x} AS INTEGER), 0) ELSE nullif(
   CASE WHEN instr({x}, '十') > 0 THEN greatest({_LAST(f"split_part({x}, '十', 1)")}, 1) * 10 + {_LAST(f"split_part({x}, '十', 2)")} ELSE {_LAST(x)} END, 0) END)"""
@@ -112,9 +112,9 @@ _FORMS = [r"(?i)\b([0-9]{1,3})(?:st|nd|rd|th)\s+(?:season|part|cour)\b", r"(?i)\
 _FOUND = ", ".join(f"regexp_extract(title, '{f}', 1) AS f{i}" for i, f in enumerate(_FORMS))
 
 
-@register("season_parse", f"SELECT n, title, CAST(coalesce({', '.join(_CJK(f'f{i}') for i in range(len(_FORMS)))}) AS INTEGER) AS season FROM (SELECT n, title, {_FOUND} FROM ({values(SEASON_TITLES)}) AS t) AS u")
+@register("season_parse", f"SELECT n, title, CAST(coalesce({', '.join(_CJK(f'f{i}') for i in range(len(_FORMS)))}) AS INTEGER) AS season FROM (SELECT n, title, {_FOUND} FROM {B.text(SEASONED)} AS t) AS u")
 def season_parse(spark, d):
-    return spark.sql(values(SEASON_TITLES)).select("n", "title", season.parse_season_number(F.col("title")).cast("int").alias("season"))
+    return B.relation(spark, d, SEASONED).select("n", "title", season.parse_season_number(F.col("title")).cast("int").alias("season"))
 
 
 @register("season_parse_corpus", f"""SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 2 THEN NULL WHEN p_size = 0 THEN NULL ELSE p_size END AS INTEGER) AS season FROM part""")
@@ -145,12 +145,12 @@ def season_catalogue(spark, d):
     return season.catalogue(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate")
 
 
-_DATES = ["2024-03-05", "2024-03-05T10:11:12Z", "Tue, 05 Mar 2024 10:11:12 GMT", "garbage", "", "1999-12-31T23:59:59Z", "2024"]
-
-
-@register("year_of_date", f"""SELECT n, CASE WHEN regexp_matches(day, '^[0-9]{{4}}(-|$)') THEN CAST(left(day, 4) AS INTEGER) WHEN regexp_matches(day, '^[A-Za-z]{{3}}, ') THEN CAST(regexp_extract(day, ' ([0-9]{{4}}) ', 1) AS INTEGER) END AS year FROM ({values(_DATES, 'day')}) AS t""")
+@register("year_of_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders")
 def year_of_date(spark, d):
-    return spark.sql(values(_DATES, "day")).select("n", season.year_of(F.col("day")).alias("year"))
+    """Dates, times and RFC 1123 times of orders; other texts have no year."""
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    raw = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(k == 3, F.concat(F.lit("in "), F.date_format(day, "yyyy"))).otherwise(F.lit(""))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", season.year_of(raw).alias("year"))
 
 
 @register("compact_date", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders""")
@@ -160,7 +160,9 @@ def compact_date(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", season.compact_date(raw).alias("day"))
 
 
-LADDER = ["Solo Levels Season 2 -Arise from Shadow-", "The Ace of the Diamond act II -Second Season-", "Re: Zero", "Hero: The Movie", "Plain", "A Song Part 2 Season 3", "幼女 第二季", "Night ~Stairway to Dawn~", "An X", "My 2nd Season: Part 3"]
+LADDER = """SELECT p_partkey AS n, CASE p_partkey % 10 WHEN 0 THEN concat(p_name, ' Season ', CAST(p_size AS STRING), ' -', lower(p_type), ' tale-') WHEN 1 THEN concat('The ', p_name, ' of an ', p_type, ' -Second Season-')
+  WHEN 2 THEN concat('Ab: ', p_name) WHEN 3 THEN concat(p_name, ': ', p_type) WHEN 4 THEN p_name WHEN 5 THEN concat('A ', p_name, ' Part 2 Season 3') WHEN 6 THEN concat(p_name, ' 第二季') WHEN 7 THEN concat(p_name, ' ~', p_type, '~')
+  WHEN 8 THEN 'An X' ELSE concat('The ', CAST(p_size AS STRING), 'th Season: ', p_name) END AS title FROM {part}"""
 _SQUASH = lambda x: rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 _SUFFIX = "|".join(rf"(?:^|\s){c}\s*[^\-–—~～〜]{{2,}}\s*{c}\s*" for c in (r"\-", "–", "—", "~", "～", "〜"))
 _WORDS = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth"
@@ -171,9 +173,9 @@ _R4 = "CASE WHEN instr(r3, ':') > 3 THEN trim(split_part(r3, ':', 1)) ELSE r3 EN
 
 
 @register("simplify_ladder", f"""SELECT n, title, array_to_string(list_filter([r1, CASE WHEN r2 <> r1 THEN r2 END, CASE WHEN r3 NOT IN (r1, r2) THEN r3 END, CASE WHEN r4 NOT IN (r1, r2, r3) THEN r4 END],
-  lambda r: r IS NOT NULL AND length(r) >= 3 AND r <> title), '|') AS rungs FROM (SELECT *, {_R4} AS r4 FROM (SELECT *, {_R3} AS r3 FROM (SELECT *, {_R2} AS r2 FROM (SELECT n, title, {_R1} AS r1 FROM ({values(LADDER)}) AS t) AS u) AS v) AS w) AS x""")
+  lambda r: r IS NOT NULL AND length(r) >= 3 AND r <> title), '|') AS rungs FROM (SELECT *, {_R4} AS r4 FROM (SELECT *, {_R3} AS r3 FROM (SELECT *, {_R2} AS r2 FROM (SELECT n, title, {_R1} AS r1 FROM {B.text(LADDER)} AS t) AS u) AS v) AS w) AS x""")
 def simplify_ladder(spark, d):
-    return spark.sql(values(LADDER)).select("n", "title", F.array_join(text.simplify_title(F.col("title")), "|").alias("rungs"))
+    return B.relation(spark, d, LADDER).select("n", "title", F.array_join(text.simplify_title(F.col("title")), "|").alias("rungs"))
 
 
 _NUMBERED = "SELECT p_partkey, concat(p_name, CASE WHEN p_size % 3 = 0 THEN '' ELSE concat(' ', CAST(p_size % 5 AS STRING)) END) AS a, concat(p_name, CASE WHEN p_size % 2 = 0 THEN '' ELSE CAST(p_size % 7 AS STRING) END) AS b FROM {part}"
@@ -196,30 +198,30 @@ steps AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: 0)
 scores AS (SELECT a, b, max(best) AS score FROM steps GROUP BY a, b)"""
 
 
-PAIRS = ["yami shibai 16|yami shibai 17", "onii-chan!|oniichan", "Kimetsu no Yaiba|Demon Slayer: Kimetsu no Yaiba", "Cowboy Bebop|Cowboy Bebop: The Movie", "日本語|日本", "|x", "abc|abc", "a b|b a", "𠮷野家|𠮷野"]
-_PAIRS = f"(SELECT n, {_STRIP.replace('title', 'l')} AS a, {_STRIP.replace('title', 'r')} AS b FROM (SELECT n, split_part(title, '|', 1) AS l, split_part(title, '|', 2) AS r FROM ({values(PAIRS)}) AS t) AS u)"
+PAIRS = """SELECT p_partkey AS n, p_name AS l, CASE p_size % 7 WHEN 0 THEN replace(p_name, 'o', '0') WHEN 1 THEN concat(p_name, ': ', p_type) WHEN 2 THEN '' WHEN 3 THEN reverse(p_name) WHEN 4 THEN concat('日本', p_name, '!')
+  WHEN 5 THEN concat(upper(p_name), ' ', CAST(p_partkey % 3 AS STRING)) ELSE substr(p_name, 3) END AS r FROM {part}"""
+_PAIRS = f"(SELECT n, {_STRIP.replace('title', 'l')} AS a, {_STRIP.replace('title', 'r')} AS b FROM {B.text(PAIRS)} AS t)"
 
 
 @register("title_similarity", f"WITH RECURSIVE {alignment_sql(_PAIRS)} SELECT n, round(coalesce(s.score / (2 * greatest(length(p.a), length(p.b))), 0), 6) AS similarity FROM {_PAIRS} AS p LEFT JOIN scores s USING (a, b)")
 def title_similarity(spark, d):
-    rows = spark.sql(values(PAIRS)).select("n", F.split_part("title", F.lit("|"), F.lit(1)).alias("l"), F.split_part("title", F.lit("|"), F.lit(2)).alias("r"))
-    return rows.select("n", F.round(similarity.title_similarity(F.col("l"), F.col("r")), 6).alias("similarity"))
+    return B.relation(spark, d, PAIRS).select("n", F.round(similarity.title_similarity(F.col("l"), F.col("r")), 6).alias("similarity"))
 
 
 @register("search_score", f"WITH RECURSIVE {alignment_sql(_PAIRS)} SELECT n, round(CASE WHEN s.score IS NULL THEN 0 ELSE least(1, s.score / (2 * length(p.a))) END, 6) AS score FROM {_PAIRS} AS p LEFT JOIN scores s USING (a, b)")
 def search_score(spark, d):
-    rows = spark.sql(values(PAIRS)).select("n", F.split_part("title", F.lit("|"), F.lit(1)).alias("l"), F.split_part("title", F.lit("|"), F.lit(2)).alias("r"))
-    return rows.select("n", F.round(similarity.search_score(F.col("l"), F.col("r")), 6).alias("score"))
+    return B.relation(spark, d, PAIRS).select("n", F.round(similarity.search_score(F.col("l"), F.col("r")), 6).alias("score"))
 
 
-ADDRESSES = [" https://x.org/p/ ", "pkg@1.2.3", "pkg@latest/", "@scope/pkg", "@scope/pkg@2", "https://x.org/p@1//", "plain"]
+ADDRESSES = """SELECT s_suppkey AS n, concat(CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE '' END, CASE s_suppkey % 4 WHEN 0 THEN 'https://x.org/' WHEN 1 THEN '@scope/' ELSE '' END, 'p', CAST(s_nationkey AS STRING),
+  CASE s_suppkey % 6 WHEN 0 THEN '@1.2.3' WHEN 1 THEN '@latest/' WHEN 2 THEN '/' WHEN 3 THEN '@2//' ELSE '' END, CASE WHEN s_suppkey % 5 = 0 THEN ' ' ELSE '' END) AS address FROM {supplier}"""
 
 
-@register("plugin_link_canonical", rf"SELECT n, regexp_replace(regexp_replace(trim(address), '/+$', ''), '@[0-9][^@/]*$', '') AS canonical FROM ({values(ADDRESSES, 'address')}) AS t")
+@register("plugin_link_canonical", rf"SELECT n, regexp_replace(regexp_replace(trim(address), '/+$', ''), '@[0-9][^@/]*$', '') AS canonical FROM {B.text(ADDRESSES)} AS t")
 def plugin_link_canonical(spark, d):
-    return spark.sql(values(ADDRESSES, "address")).select("n", canonical_address(F.col("address")).alias("canonical"))
+    return B.relation(spark, d, ADDRESSES).select("n", canonical_address(F.col("address")).alias("canonical"))
 
 
-@register("backoff_schedule", "SELECT CAST(i AS BIGINT) AS attempt, CAST(least(1000 * pow(2, i), 15000) AS BIGINT) AS delay_ms FROM range(8) AS t(i)")
+@register("backoff_schedule", "SELECT event_id, CAST(least(1000 * pow(2, event_id % 8), 15000) AS BIGINT) AS delay_ms FROM events")
 def backoff_schedule(spark, d):
-    return spark.range(8).select(F.col("id").alias("attempt"), retry_delay(F.col("id")).alias("delay_ms"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", retry_delay(F.col("event_id") % 8).alias("delay_ms"))

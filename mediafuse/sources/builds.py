@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mediafuse.operators.crosswalk import MIN_INPUT, guarded
@@ -40,11 +42,26 @@ def read_or_cached(spark: SparkSession, path: str, cached: str, schema: str) ->
     raise FileNotFoundError(f"neither {path} nor {cached} can be read")
 
 
-def write_artifact(rows: DataFrame, path: str, sources: dict[str, str], least: int, what: str) -> DataFrame:
-    """Writes rows, if there are enough, and beside them a line on what they were made of; gives that line."""
-    spark = rows.sparkSession
-    n = guarded(rows, least, what).count()
-    rows.write.mode("overwrite").parquet(f"{path}/data")
-    about = spark.createDataFrame([(what, n, sources)], "name string, rows long, sources map<string,string>")
+def write_artifact(rows: DataFrame, path: str, sources: dict[str, str], least: int, what: str, metrics: dict[str, Column] | None = None) -> DataFrame:
+    """Writes rows, if there are enough, and beside them a line on what they were made of; gives that line.
+
+    The rows are evaluated once: they are counted, and ``metrics`` (aggregates) taken, by the job that writes them into
+    a draft, and the draft takes the place of what was there only if the count is right.
+    """
+    spark, seen, draft = rows.sparkSession, Observation(), f"{path}-draft-{uuid.uuid4().hex}"
+    rows.observe(seen, F.count(F.lit(1)).alias("_rows"), *(m.alias(n) for n, m in (metrics or {}).items())).write.parquet(draft)
+    told = seen.get
+    n = told["_rows"]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if n < least:
+        store.delete(hadoop(draft), True)
+        raise ValueError(f"{what}: {n} rows, at least {least} are expected")
+    store.mkdirs(hadoop(path))
+    store.delete(hadoop(f"{path}/data"), True)
+    if not store.rename(hadoop(draft), hadoop(f"{path}/data")):
+        raise RuntimeError(f"{path}/data cannot be put in place")
+    measured = {k: str(v) for k, v in told.items() if k != "_rows"}
+    about = spark.createDataFrame([(what, n, sources, measured)], "name string, rows long, sources map<string,string>, metrics map<string,string>")
     about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
     return about

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediafuse.functions import season, text
+from mediafuse.functions import season, text, uris
+from mediafuse.sources import records as R
 
 
 def sections(page: Column, heading: str) -> Column:
@@ -42,6 +43,7 @@ GRID_TEXTS = {"title": 'class="link-title">([^<]+)<', "english_title": 'class="h
 GRID_NUMBERS = {"score": ('class="js-score">([0-9.]+)<', "double"), "members": ('class="js-members">([0-9,]+)<', "long"),
                 "episodes": (r"<span>\s*([0-9]+)\s*eps?\s*</span>", "long"), "type_id": ("js-anime-type-([0-9]+)", "int")}
 GRID_START = 'class="js-start_date">([0-9]+)<'
+GRID_TYPES = {1: "TV", 2: "OVA", 3: "MOVIE", 4: "SPECIAL", 5: "ONA"}
 
 
 def season_cards(pages: DataFrame, key: str, page: str) -> DataFrame:
@@ -61,6 +63,60 @@ def current_only(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("section") != CARRIED_OVER)
 
 
+#: Markup of a film catalogue's pages: what holds each field. Fixed values.
+SHOW_META = {"title": "og:title", "overview": "og:description", "poster": "og:image"}
+SHOW_BACKDROP, SHOW_PERCENT = r"/t/p/w1920[^\"']+\.(?:jpg|png)", r'class="user_score_chart"[^>]*data-percent="([0-9.]+)"'
+MEDIA_HOST, SHOW_SITE = "https://media.themoviedb.org", "https://www.themoviedb.org/tv/"
+EPISODE_CARD, EPISODE_NUMBER = '<div class="card', 'data-episode-number="([0-9]+)"'
+EPISODE_TITLES = ("<h3><a[^>]*>([^<]+)</a></h3>", r'<img[^>]*\balt="([^"]*)"')
+EPISODE_TEXT, EPISODE_STILL = r'(?s)class="overview"[^>]*>\s*<p>(.*?)</p>', rf'src="({MEDIA_HOST}/t/p/[^"]+)"'
+FOUND_CARD, FOUND_ID, FOUND_TITLE = '(?=data-media-type="tv")', '(?s)^data-media-type="tv".{0,200}?href="/tv/([0-9]+)', r'(?s)<img\s+alt="([^"]*)"'
+FOUND_POSTER, FOUND_YEAR = '(?s)<img\\s+alt="[^"]*".{0,300}?(?:src|data-src)="(https://[^"]+)"', r'class="release_date[^"]*">[^<]*\b((?:19|20)[0-9]{2})\b'
+SHOW_SCORE = 0.3
+
+
+def _first(text_of: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text_of, pattern, 1), F.lit(""))
+
+
+def show_records(pages: DataFrame, ident: str, page: str, season_number: Column | None = None) -> list[Column]:
+    """Columns of a media record from a show's page: of the show, or of one of its seasons, whose id then names the season."""
+    p = F.col(page)
+    meta = {n: _first(p, f'<meta property="{v}" content="([^"]*)"') for n, v in SHOW_META.items()}
+    own = F.col(ident).cast("string")
+    scoped = own if season_number is None else F.when(season_number.isNull(), own).otherwise(uris.season_scoped(own, season_number))
+    backdrop = F.nullif(F.regexp_extract(p, SHOW_BACKDROP, 0), F.lit(""))
+    return R.media("tmdb", scoped, url=F.concat(F.lit(SHOW_SITE), own), score=F.lit(SHOW_SCORE), categories=F.array(F.lit("SERIES")), titles=R.titles(SHOW_SCORE, ("en", text.clean_text(meta["title"]))),
+                   **R.described(text.clean_text(meta["overview"]), SHOW_SCORE), covers=R.images(meta["poster"], SHOW_SCORE), banners=R.images(F.concat(F.lit(MEDIA_HOST), backdrop), SHOW_SCORE),
+                   average_score=F.round(_first(p, SHOW_PERCENT).try_cast("double")) / 10)
+
+
+def season_episodes(pages: DataFrame, show: str, season_number: str, page: str, media_uri: Column) -> DataFrame:
+    """Episodes of a season's page, one for each card that has a number."""
+    each = pages.select("*", F.explode(F.split(F.col(page), EPISODE_CARD, -1)).alias("_card")).withColumn("_number", _first(F.col("_card"), EPISODE_NUMBER).try_cast("long")).where("_number is not null")
+    card = F.col("_card")
+    ident = F.concat(uris.season_scoped(F.col(show), F.col(season_number)), F.lit("e"), F.col("_number").cast("string"))
+    title = text.clean_text(F.coalesce(*(_first(card, t) for t in EPISODE_TITLES)))
+    return each.select(*R.episode("tmdb", ident, media_uri, score=F.lit(SHOW_SCORE), titles=R.titles(SHOW_SCORE, ("en", title)), **R.described(text.clean_text(_first(card, EPISODE_TEXT)), SHOW_SCORE),
+                                  thumbnails=R.images(_first(card, EPISODE_STILL), SHOW_SCORE), season_number=F.col(season_number).cast("long"), episode_number=F.col("_number")))
+
+
+def found_shows(pages: DataFrame, key: str, page: str) -> DataFrame:
+    """(key, pos, id, title, poster, start_date) of a search page's results, each show once, where it comes first."""
+    each = pages.select(key, F.posexplode(F.split(F.col(page), FOUND_CARD, -1)).alias("pos", "_card")).withColumn("id", _first(F.col("_card"), FOUND_ID)).where("id is not null")
+    first = F.row_number().over(Window.partitionBy(key, "id").orderBy("pos"))
+    card = F.col("_card")
+    return each.withColumn("_r", first).where("_r = 1").select(key, "pos", "id", text.clean_text(_first(card, FOUND_TITLE)).alias("title"), _first(card, FOUND_POSTER).alias("poster"), season.year_text(_first(card, FOUND_YEAR)).alias("start_date"))
+
+
+def grid_media(entries: DataFrame) -> list[Column]:
+    """Columns of a media record from the entries of a seasonal grid."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in GRID_TYPES.items() for x in kv)), F.col("type_id"))
+    return R.media("mal", F.col("id"), score=F.lit(0.9), url=F.concat(F.lit("https://myanimelist.net/anime/"), "id"), type=kind, categories=F.array(F.lit("ANIME"), F.when(kind == "MOVIE", F.lit("MOVIE")).otherwise(F.lit("SERIES"))),
+                   titles=R.titles(0.9, ("en", F.col("english_title")), ("jp-en", F.col("title"))), **R.described(F.col("synopsis"), 0.9), covers=R.images(F.col("cover"), 0.9),
+                   average_score=F.col("score"), popularity=F.col("members"), episode_count=F.col("episodes"), start_date=F.col("start_date"))
+
+
 def search_results(page: Column, kind: str) -> Column:
     """Ids of a search page's result links of a kind (``tv`` or ``movie``), in order and once each."""
     return F.array_distinct(F.regexp_extract_all(page, F.lit(rf'href="/{kind}/([0-9]+)'), F.lit(1)))

@@ -74,15 +74,15 @@ def _failed(why: Exception) -> str:
     return f"{type(why).__name__}: {why}".splitlines()[0][:200]
 
 
-def read_pages(plugin: Plugin, path: str, names: list[str], pages: list[tuple[int, str]]) -> Iterator[tuple]:
-    """Rows of the files: records of the plug-in's own origin, and one row for whatever failed. A file is one JSON document, or one a line."""
+def read_pages(plugin: Plugin, path: str, names: list[str], pages: list[tuple[int, str]], whole: bool = False) -> Iterator[tuple]:
+    """Rows of the files: records of the plug-in's own origin, and one row for whatever failed. A file is a JSON document a line, or one as a whole."""
     for page, file in pages:
         try:
             raw = _text(path, file)
         except Exception as why:  # noqa: BLE001  one file must not fail the others
             yield (plugin.origin, page, _failed(why), *(None for _ in names))
             continue
-        for line in raw.splitlines() if file.removesuffix(".gz").endswith((".jsonl", ".json")) else [raw]:
+        for line in [raw] if whole else raw.split("\n"):
             if not line.strip():
                 continue
             try:
@@ -97,7 +97,7 @@ def read_pages(plugin: Plugin, path: str, names: list[str], pages: list[tuple[in
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.entry, self.per_task = options["path"], options["plugin"], int(options.get("filespertask", FILES_A_TASK))
-        self.names = schema.names[3:]
+        self.names, self.whole = schema.names[3:], options.get("multiline", "false").lower() == "true"
         self.pushed: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -119,7 +119,7 @@ class _Reader(DataSourceReader):
         return [Pages(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [Pages([])]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
-        return read_pages(named(self.entry), self.path, self.names, partition.files)
+        return read_pages(named(self.entry), self.path, self.names, partition.files, self.whole)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -128,7 +128,7 @@ class _StreamReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.entry, self.per_task = options["path"], options["plugin"], int(options.get("filespertask", FILES_A_TASK))
         self.most = int(options.get("maxfilespertrigger", 1 << 30))
-        self.names = schema.names[3:]
+        self.names, self.whole = schema.names[3:], options.get("multiline", "false").lower() == "true"
         self.given = 0
 
     def initialOffset(self) -> dict:
@@ -144,11 +144,11 @@ class _StreamReader(DataSourceStreamReader):
         return [Pages(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [Pages([])]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
-        return read_pages(named(self.entry), self.path, self.names, partition.files)
+        return read_pages(named(self.entry), self.path, self.names, partition.files, self.whole)
 
 
 class PluginSource(DataSource):
-    """Options: ``plugin`` (module:name), ``path`` (a folder), ``filespertask`` and, for streams, ``maxfilespertrigger``."""
+    """Options: ``plugin`` (module:name), ``path`` (a folder), ``multiline`` (true: a file is one document), ``filespertask`` and, for streams, ``maxfilespertrigger``."""
 
     @classmethod
     def name(cls) -> str:

@@ -35,6 +35,7 @@ class Store:
         self.spark, self.folder, self.tables, self.buckets = spark, folder.rstrip("/"), tables, buckets
         self._staged: dict[str, dict[int, list[str]]] = {}
         self._read: dict[int, dict[str, dict[int, list[str]]]] = {}  # a version never changes
+        self._applied: dict[int, dict[str, int]] = {}
 
     # -- files
 
@@ -64,8 +65,15 @@ class Store:
             file.close()
             self._read = {v: m for v, m in self._read.items() if v >= version - 2}
             self._read[version] = {name: {int(b): parts for b, parts in held.get(name, {}).items()} for name in self.tables}
+            self._applied[version] = held.get("", {})
         return self._read[version]
 
+    def applied(self) -> dict[str, int]:
+        """The last batch of each stream that the latest version holds."""
+        version = self.version()
+        self._manifest(version)
+        return dict(self._applied.get(version, {}))
+
     # -- reading
 
     def bucket(self, key: Column) -> Column:
@@ -120,15 +128,19 @@ class Store:
         made = self._write(name, rows, f"{version:012d}-added", len(buckets)) if buckets else {}
         self._staged.setdefault(name, {}).update({b: [*held.get(b, []), p] for b, p in made.items()})
 
-    def commit(self, version: int) -> None:
-        """Makes all that is staged the content of ``version``, and deletes files that only versions before the last two name."""
+    def commit(self, version: int, applied: dict[str, int] | None = None) -> None:
+        """Makes all that is staged the content of ``version``, and deletes files that only versions before the last two name.
+
+        ``applied``: the batches of streams that the version holds, by the streams' names; those of other streams stay.
+        """
         before = self._manifest(self.version())
+        streams = self.applied() | (applied or {})
         after = {name: {b: p for b, p in (before[name] | self._staged.get(name, {})).items() if p} for name in self.tables}
         fs, folder = self._fs(), f"{self.folder}/versions"
         fs.mkdirs(self._path(folder))
         draft = self._path(f"{folder}/.{version:012d}.draft")
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(after).encode()))
+        out.write(bytearray(json.dumps({**after, "": streams}).encode()))
         out.close()
         if not fs.rename(draft, self._path(f"{folder}/{version:012d}.json")):
             raise RuntimeError(f"version {version} is there already")
