@@ -30,6 +30,8 @@ from mediafuse.operators.components import connected_components, extended_compon
 from mediafuse.llm.columns import col
 from mediafuse.operators.scratch import Scratch
 
+#: Pairs with one hub that are measured side by side.
+PAIRS_A_SET = 2048
 #: A pair of similarity 0.8 shares none of 64 bands of 7 values with probability (1 - 0.8**7)**64 = 3e-7.
 BANDS, ROWS = 64, 7
 #: Of the 448 bits of a sketch a pair of similarity 0.8 differs in 44.8 on average with a deviation of 6.4, and in more than 80 with probability 1e-7.
@@ -160,9 +162,13 @@ def _measured(pairs: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> Da
     pairs = scratch.write(pairs.distinct(), "pairs")
     need = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "need")
     sets = scratch.write(_sets(need, docs, k), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    # A hub's set goes once to each PAIRS_A_SET of its pairs, to which the others' sets come: it is not carried along with every pair.
+    parts = scratch.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_SET).cast("int").alias("parts")), "parts")
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    hubs = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).join(parts, "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(hubs, ["a", "part"])
     out = scratch.write(both.mapInArrow(_overlaps, "a long, b long, na int, nb int, common int, held array<long>"), "measured")
-    scratch.drop(need, sets, pairs)
+    scratch.drop(need, sets, pairs, parts)
     return out
 
 
