@@ -24,6 +24,8 @@ from mediafuse.llm.columns import col
 
 #: Different labelled texts that training uses of each language.
 SAMPLE_PER_LANGUAGE = 200
+#: Characters of one of them at most.
+SAMPLE_CHARS = 65_536
 #: A piece of each is also learned from as a short text, of these lengths in turn.
 SHORT_BYTES = (24, 60, 150)
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 12
@@ -189,8 +191,9 @@ def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, t
 
     Copies of a text count once, every language that has a text with a letter is learned, and the sample depends
     neither on the order of rows nor on their partitions. Rows of null text or language and texts without a letter
-    teach nothing. Whole texts are learned from, and a short piece of each besides. Only the sample and one count
-    per language reach the driver.
+    teach nothing. Texts are learned from whole, those of more than ``SAMPLE_CHARS`` characters by so many from a place
+    that their hash gives, and a short piece of each besides. Only the sample and one count per language reach the
+    driver: sample_per_language * SAMPLE_CHARS characters a language at most.
     """
     rows = labelled.where(col(lang_col).isNotNull() & col(text_col).rlike(r"\p{L}")).select(
         col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"))
@@ -202,7 +205,9 @@ def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, t
     share = F.coalesce(*(F.when(F.col("lang") == g, F.lit(min(1 << 30, 1 + 4 * sample_per_language * (1 << 30) // max(1, n)))) for g, n in sorted(different.items())))
     texts = rows.where(F.shiftrightunsigned("h", 34) < share).groupBy("lang", "h").agg(F.min("text").alias("text"))
     least = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))
-    picked = texts.withColumn("r", least).where(F.col("r") <= sample_per_language).select("lang", "text").toArrow().to_pylist()
+    place = F.pmod("h", F.length("text") - SAMPLE_CHARS + 1).cast("int") + 1
+    part = F.when(F.length("text") > SAMPLE_CHARS, F.substring("text", place, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    picked = texts.withColumn("r", least).where(F.col("r") <= sample_per_language).select("lang", part.alias("text")).toArrow().to_pylist()
     whole = sorted((r["lang"], r["text"].encode()) for r in picked)
     return Model(whole + [(g, _crop(t, SHORT_BYTES[i % len(SHORT_BYTES)])) for i, (g, t) in enumerate(whole)])
 
