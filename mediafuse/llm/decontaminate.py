@@ -25,8 +25,8 @@ BLOCKS, BLOCK_BITS, FLIPS = 8, 8, 2
 #: A window of the similarity differs from its item in some 9 bits on average, and in more than this hardly ever.
 RADIUS = (FLIPS + 1) * BLOCKS - 1
 _MASKS = [sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), n)]
-#: Rows of a table of at most so many are sent to all tasks; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+#: A table of at most so many values (8 bytes each) is sent to all tasks; a larger one is shuffled.
+BROADCAST_VALUES = 2_000_000
 
 
 def _words(text: Column) -> Column:
@@ -67,8 +67,10 @@ def _starts(similarity: float, shingle: int) -> Column:
     return F.when(F.size("at") >= need, F.array_distinct(F.flatten(starts)))
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sent(df: DataFrame, values: Column | int) -> DataFrame:
+    """df for a join: broadcast if its rows, of so many values each, are few enough."""
+    values = F.lit(values) if isinstance(values, int) else values
+    return F.broadcast(df) if (df.agg(F.sum(values)).first()[0] or 0) <= BROADCAST_VALUES else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY,
@@ -84,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
     words = F.col("words")
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct().select(
         "item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(shingle)).alias("k"))
-    items = scratch.write(items.withColumn("fp", fingerprint(words)), "items")
+    items = scratch.write(items.withColumns({"fp": fingerprint(words), "row": F.monotonically_increasing_id()}), "items")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]
 
     base = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(id_col), col(text_col)).alias("k"), col(text_col).alias("text"))
@@ -94,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
         with_shingles.append(own)
         keys = own.select("n", F.explode("shingles").alias("s")).distinct()
         found = base.select("doc_id", "k", _words(F.col("text")).alias("words")).select("doc_id", "k", F.size("words").alias("n_words"), F.posexplode(_shingles(words, k)).alias("pos", "s"))
-        parts.append(found.join(_sent(scratch.write(keys, "keys")), "s").select("doc_id", "k", "n_words", "n", "pos"))
+        parts.append(found.join(_sent(scratch.write(keys, "keys"), 2), "s").select("doc_id", "k", "n_words", "n", "pos"))
     if not sizes:
         return scratch.write(base.select("doc_id", "k", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word")).limit(0), "none")
     hits = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "k", "n_words", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
@@ -102,18 +104,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
 
     starts = placed.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "n")).alias("windows")).select(
         F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "windows")
-    held = base.join(_sent(scratch.write(starts, "starts")), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(
+    held = base.join(_sent(scratch.write(starts, "starts"), 2 + 2 * F.size("windows")), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(
         "doc_id", "k", _words(F.col("text")).alias("words"), "windows").select("doc_id", "k", F.explode(F.transform("windows", lambda w: F.struct(
             w.start.alias("start"), w.n.alias("n"), F.slice("words", w.start + 1, w.n).alias("words")))).alias("w")).select("doc_id", "k", "w.*")
     windows = scratch.write(held.withColumn("fp", fingerprint(words)), "windows")
 
-    index = items.select("item_id", "n", F.col("k").alias("size"), F.col("words").alias("item"), F.col("fp").alias("item_fp"), F.explode(F.array(*(
+    # The index holds numbers of items, and probes those of windows: words are joined back to the pairs that pass.
+    index = items.select("row", "n", F.col("fp").alias("item_fp"), F.explode(F.array(*(
         F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).bitwiseXOR(F.lit(flip)).alias("value"))
-        for b in range(BLOCKS) for flip in _MASKS))).alias("e")).select("item_id", "n", "size", "item", "item_fp", "e.block", "e.value")
-    probes = windows.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)))).alias("e")).select(
-        "doc_id", "k", "start", "n", "words", "fp", "e.block", "e.value")
-    near = probes.join(_sent(scratch.write(index, "index")), ["n", "block", "value"]).where(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "k", "start", "size", "words", "item_id", "item").distinct()
+        for b in range(BLOCKS) for flip in _MASKS))).alias("e")).select("row", "n", "item_fp", "e.block", "e.value")
+    probes = windows.select("doc_id", "k", "start", "n", "fp", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)))).alias("e")).select(
+        "doc_id", "k", "start", "n", "fp", "e.block", "e.value")
+    pairs = probes.join(_sent(scratch.write(index, "index"), 4), ["n", "block", "value"]).where(
+        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "k", "start", "n", "row").distinct()
+    pairs = scratch.write(pairs, "pairs")
+    own = windows.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), F.col("start").alias("_start"), F.col("n").alias("_n"), "words")
+    here = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start")) & (F.col("n") == F.col("_n"))
+    near = pairs.join(own, here).join(_sent(items.select("row", "item_id", F.col("k").alias("size"), F.col("words").alias("item")), 3 + F.size("item")), "row").select("doc_id", "k", "start", "size", "words", "item_id", "item")
     near = scratch.write(near, "near")
     size_cases = lambda c: reduce(lambda x, y: F.coalesce(x, y), (F.when(F.col("size") == k, _shingles(F.col(c), k)) for k in sizes))
     scored = near.withColumns({"a": size_cases("words"), "b": size_cases("item")}).withColumn("common", _common(F.col("a"), F.col("b")))
@@ -127,7 +134,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_co
     key, ident = free(docs, "k", "id")
     bad = scratch.write(contaminated(docs, benchmark, scratch, id_col=id_col, text_col=text_col, **more).select(
         F.col("doc_id").alias(ident), F.col("k").alias(key)).distinct(), "bad")
-    return docs.join(_sent(bad), (F.xxhash64(col(id_col), col(text_col)) == F.col(key)) & col(id_col).eqNullSafe(F.col(ident)), "left_anti")
+    return docs.join(_sent(bad, 2), (F.xxhash64(col(id_col), col(text_col)) == F.col(key)) & col(id_col).eqNullSafe(F.col(ident)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

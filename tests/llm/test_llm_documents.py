@@ -73,6 +73,53 @@ def test_near_duplicate_groups_equal_brute_force(spark, scratch, docs, texts, k)
     assert near_dups.near_duplicate_groups(empty(spark), scratch).count() == 0
 
 
+def test_hub_sets_by_parts_give_the_same_groups(spark, scratch, docs, monkeypatch):
+    rows = lambda: sorted(map(tuple, near_dups.near_duplicate_groups(docs, scratch).collect()), key=repr)
+    whole = rows()
+    monkeypatch.setattr(near_dups, "PAIRS_A_SET", 3)
+    assert rows() == whole
+
+
+def test_long_texts_teach_by_a_bounded_part(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 40)
+    rows = [(i, ("the long road and the tion " if i % 2 else "der lange weg und schung ") * (1 + i), "en" if i % 2 else "de", "s", 0) for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, SCHEMA))
+    got = language_id.identify(spark.createDataFrame(rows, SCHEMA), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_fingerprints_of_similar_windows_lie_within_the_radius():
+    """Windows that edits of any kind leave at the similarity: how far their fingerprints lie from the item's."""
+    import random
+
+    r, far = random.Random(4), []
+    value = lambda: np.uint64(r.getrandbits(64))
+    ones = lambda ws: 2 * ((np.array(ws, np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(int).sum(0) > len(ws)
+    sets = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    for trial in range(600):
+        item = [value() for _ in range(r.choice((14, 20, 34, 50, 90)))]
+        kind, now, n = r.choice(("change", "insert", "delete", "move")), list(item), len(item)
+        for _ in range(6):
+            new, i = list(now), r.choice((0, len(now) - 1, r.randrange(len(now))))
+            if kind == "change":
+                new[i] = value()
+            elif kind == "insert":
+                new.insert(i, value())
+            else:
+                word = new.pop(i)
+                new.insert(r.randrange(len(new)), word) if kind == "move" else None
+            doc = [value() for _ in range(4)] + new + [value() for _ in range(8)]
+            def similarity(s, doc=doc):
+                a, b = sets(doc[s : s + n]), sets(item)
+                return (both := sum((a & b).values())) / (a.total() + b.total() - both)
+            similar = [s for s in range(9) if s + n <= len(doc) and similarity(s) >= 0.8]
+            if not similar:
+                break
+            now = new
+            far.append(min(int((ones(doc[s : s + n]) != ones(item)).sum()) for s in similar))
+    assert len(far) > 600 and max(far) <= decontaminate.RADIUS
+
+
 def test_near_duplicates_in_large_buckets_lose_no_link(spark, scratch, monkeypatch):
     """Documents around one shared passage, few of them linked, and two groups of copies of a text whose edits differ in number."""
     monkeypatch.setattr(near_dups, "BLOCK", 4)
@@ -220,11 +267,11 @@ def test_contaminated_documents_equal_brute_force(spark, scratch):
     bench = spark.createDataFrame([(i, t, "x") for i, t in items.items()], "item_id long, text string, n string")
     want = {(d, i): s for d, t in enumerate(texts) if t for i, x in items.items() if x and x.strip() and (s := item_similarity(t, x)) >= 0.8}
     for sent in (500_000, 0):
-        decontaminate.BROADCAST_ROWS, kept = sent, decontaminate.BROADCAST_ROWS
+        decontaminate.BROADCAST_VALUES, kept = sent, decontaminate.BROADCAST_VALUES
         got = decontaminate.contaminated(docs, bench, scratch).collect()
         left = decontaminate.decontaminate(docs, bench, scratch)
         names = {r.doc_id for r in left.collect()}
-        decontaminate.BROADCAST_ROWS = kept
+        decontaminate.BROADCAST_VALUES = kept
         assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got if r.doc_id is not None} == {k: round(v, 9) for k, v in want.items()}
         assert {r.item_id for r in got if r.doc_id is None} == {1}
         assert names == {d for d in range(len(texts))} - {d for d, _ in want} and left.columns == docs.columns
