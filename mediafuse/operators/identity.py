@@ -38,6 +38,25 @@ def resolve_alias(names: DataFrame, aliases: DataFrame, column: str = "name") ->
     return names.join(aliases, F.col(column) == F.col("alias"), "left").withColumn("uri", F.coalesce("uri", column)).drop("alias")
 
 
+def known(names: DataFrame, records: DataFrame, aliases: DataFrame, column: str = "name", uri: str = "uri") -> DataFrame:
+    """names with ``known``: whether a record or an alias goes by the name, whatever the alias points at."""
+    taken = records.select(F.col(uri).alias("_n")).unionByName(aliases.select(F.col("alias").alias("_n"))).distinct().withColumn("known", F.lit(True))
+    return names.join(taken, F.col(column) == F.col("_n"), "left").drop("_n").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def looked_up(names: DataFrame, records: DataFrame, aliases: DataFrame, column: str = "name", uri: str = "uri") -> DataFrame:
+    """The records that go by the names: a record of that uri, else the one that an alias of that name points at."""
+    own = records.select(F.col(uri).alias("_n"), F.struct(*records.columns).alias("_r"))
+    to = aliases.select(F.col("alias").alias("_n"), F.col("uri").alias("_to")).join(own.select(F.col("_n").alias("_to"), F.col("_r").alias("_a")), "_to").drop("_to")
+    found = names.join(own, F.col(column) == F.col("_n"), "left").drop("_n").join(to, F.col(column) == F.col("_n"), "left").drop("_n")
+    return found.withColumn("_r", F.coalesce("_r", "_a")).where("_r is not null").select(*names.columns, *(F.col(f"_r.{c}").alias(c) for c in records.columns if c not in names.columns))
+
+
+def targets(edges: DataFrame, sources: DataFrame, label: str, column: str = "uri") -> DataFrame:
+    """(src_uri, dst_uri) of the directed edges of a label that lead from the sources, one step far, once each."""
+    return edges.where(F.col("kind") == label).join(sources.select(F.col(column).alias("src_uri")).distinct(), "src_uri", "left_semi").select("src_uri", "dst_uri").distinct()
+
+
 def first_live_handle(requests: DataFrame, members: DataFrame, aggregated: str = "aggregated_uri") -> DataFrame:
     """requests with ``component``: the cluster of the first handle, in uri order, that has a record."""
     each = requests.select("*", F.posexplode(uris.handles_of(F.col(aggregated))).alias("_pos", "_handle"))

@@ -15,17 +15,19 @@ MEDIA = """SELECT concat('part:', CAST(p_partkey AS STRING)) AS uri, lower(repla
 EDGES = """SELECT DISTINCT concat('part:', CAST(a AS STRING)) AS src_uri, concat('part:', CAST(b AS STRING)) AS dst_uri FROM (
   SELECT l_partkey AS a, l_suppkey AS s, lead(l_partkey) OVER w AS b, lead(l_suppkey) OVER w AS s2 FROM {lineitem}
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS t WHERE s = s2 AND a <> b"""
-SPARSE = """SELECT DISTINCT concat('part:', CAST(l_partkey AS STRING)) AS src_uri, concat('supp:', CAST(l_suppkey AS STRING)) AS dst_uri
-  FROM {lineitem} WHERE l_quantity = 50 AND l_discount >= 0.1"""
+#: Orders and their customers, a graph of two kinds of nodes.
+BIPARTITE = "SELECT DISTINCT concat('order:', CAST(o_orderkey AS STRING)) AS src_uri, concat('cust:', CAST(o_custkey AS STRING)) AS dst_uri FROM {orders}"
 UPSERTS = """SELECT user_id, event_id, event_type, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS scalar, event_id % 7 AS size FROM {events}"""
 EPISODES = """SELECT concat('ep:', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS uri, role AS origin, conv_id, turn,
   concat('conv:', CAST(conv_id AS STRING)) AS media_uri, CASE WHEN turn = 0 THEN NULL ELSE turn END AS episode_number,
   CAST(floor(turn / 4) AS BIGINT) AS season, text AS title,
   CAST(CASE role WHEN 'system' THEN 0.9 WHEN 'user' THEN 0.5 ELSE 0.2 END AS DOUBLE) AS score FROM {conversations}"""
-TITLES = """SELECT doc_id, lang, CASE WHEN position(chr(10) IN text) > 0 THEN substr(text, 1, position(chr(10) IN text) - 1) ELSE text END AS title FROM {documents}"""
-IDS_A = "SELECT p_partkey + 1 AS mal, (p_partkey * 3) % 1999 AS anilist FROM {part}"
-IDS_B = """SELECT p_partkey + 1 AS mal, CASE WHEN p_size % 10 = 0 THEN (p_partkey * 3 + 1) % 1999 ELSE (p_partkey * 3) % 1999 END AS anilist,
-  p_partkey % 700 AS kitsu, p_partkey AS anidb FROM {part}"""
+TITLES = "SELECT doc_id, lang, text AS title FROM {documents}"
+#: Two id databases over the parts. Ids repeat at a rate that does not depend on the number of parts.
+_PARTS = "(SELECT count(*) FROM {part})"
+IDS_A = f"SELECT p_partkey + 1 AS mal, (p_partkey * 3) % ({_PARTS} - 1) AS anilist FROM {{part}}"
+IDS_B = f"""SELECT p_partkey + 1 AS mal, CASE WHEN p_size % 10 = 0 THEN (p_partkey * 3 + 1) % ({_PARTS} - 1) ELSE (p_partkey * 3) % ({_PARTS} - 1) END AS anilist,
+  p_partkey % CAST(floor({_PARTS} * 7 / 20.0) AS BIGINT) AS kitsu, p_partkey AS anidb FROM {{part}}"""
 TABLES = ("part", "lineitem", "events", "conversations", "documents", "orders", "nation", "region", "supplier", "customer", "labels", "pages", "benchmark")
 
 

@@ -108,13 +108,13 @@ def movie_as_episode(spark, d):
     return out.select("uri", "id", "media_uri", "episode_number", F.array_join(F.transform("titles", lambda t: t.title), "|").alias("titles"))
 
 
-_EP = f"(SELECT *, concat('g', CAST(conv_id % 10 AS VARCHAR)) AS component FROM {B.text(B.EPISODES)} AS x)"
+_EP = f"(SELECT *, concat('g', CAST(conv_id - conv_id % 3 AS VARCHAR)) AS component FROM {B.text(B.EPISODES)} AS x)"
 
 
 @register("episodes_by_number", f"""SELECT component, episode_number, count(*) AS members, max(coalesce(score, 0)) AS score, CASE WHEN count(*) = 1 THEN min(origin) ELSE 'ag' END AS origin,
   arg_min(season, (-coalesce(score, 0), uri)) AS season_number FROM {_EP} AS e WHERE episode_number IS NOT NULL GROUP BY component, episode_number""")
 def episodes_by_number(spark, d):
-    rows = B.relation(spark, d, B.EPISODES).withColumns({"component": F.concat(F.lit("g"), (F.col("conv_id") % 10).cast("string")), "season_number": F.col("season"), "score": F.col("score").cast("double")})
+    rows = B.relation(spark, d, B.EPISODES).withColumns({"component": F.concat(F.lit("g"), (F.col("conv_id") - F.col("conv_id") % 3).cast("string")), "season_number": F.col("season"), "score": F.col("score").cast("double")})
     return fuse.group_episodes(rows).select("component", "episode_number", "members", "score", "origin", "season_number")
 
 

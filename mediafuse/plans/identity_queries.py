@@ -59,9 +59,9 @@ def components_edges(spark, d):
     return out.withColumnRenamed("node", "uri")
 
 
-@register("components_bipartite", f"WITH RECURSIVE {closure(B.text(B.SPARSE))} SELECT uri, component FROM comp")
+@register("components_bipartite", f"WITH RECURSIVE {closure(B.text(B.BIPARTITE))} SELECT uri, component FROM comp")
 def components_bipartite(spark, d):
-    out = connected_components(B.relation(spark, d, B.SPARSE), Scratch(spark, "components"), "src_uri", "dst_uri")
+    out = connected_components(B.relation(spark, d, B.BIPARTITE), Scratch(spark, "components"), "src_uri", "dst_uri")
     return out.withColumnRenamed("node", "uri")
 
 
@@ -84,7 +84,7 @@ def cluster_no_seeds(spark, d):
     return identity.seeded(m, m.where("false").select("uri")).select("component", "uri")
 
 
-_ALIAS = "SELECT concat('alias-', CAST(p_partkey AS {s})) AS alias, concat('part:', CAST((p_partkey * 7) % 2000 AS {s})) AS uri FROM {{part}} WHERE p_partkey % 3 = 0"
+_ALIAS = "SELECT concat('alias-', CAST(p_partkey AS {s})) AS alias, concat('part:', CAST((p_partkey * 7) % (SELECT count(*) FROM {{part}}) AS {s})) AS uri FROM {{part}} WHERE p_partkey % 3 = 0"
 _NAMES = "SELECT concat(CASE WHEN p_partkey % 2 = 0 THEN 'alias-' ELSE 'part:' END, CAST(p_partkey AS STRING)) AS name FROM {part}"
 
 
@@ -93,14 +93,34 @@ def alias_resolve(spark, d):
     return identity.resolve_alias(B.relation(spark, d, _NAMES), B.relation(spark, d, _ALIAS.format(s="STRING")))
 
 
-@register("live_handle_fallback", MEMBERS_SQL + """, req AS (SELECT k, concat('ag:(a:', CAST(k AS VARCHAR), ',part:', CAST(k * 3 AS VARCHAR), ',part:', CAST(k AS VARCHAR), ')') AS aggregated_uri FROM members WHERE k % 5 = 0),
+@register("graph_known", f"SELECT name, name LIKE 'part:%' OR name IN (SELECT alias FROM {B.text(_ALIAS.format(s='STRING'))} AS a) AS known FROM {B.text(_NAMES)} AS n")
+def graph_known(spark, d):
+    """Whether a record or an alias goes by a name."""
+    return identity.known(B.relation(spark, d, _NAMES), B.relation(spark, d, B.MEDIA).select("uri"), B.relation(spark, d, _ALIAS.format(s="STRING")))
+
+
+@register("graph_lookup", f"SELECT name, m.uri, m.title FROM {B.text(_NAMES)} AS n LEFT JOIN {B.text(_ALIAS.format(s='STRING'))} AS a ON n.name = a.alias JOIN {B.text(B.MEDIA)} AS m ON m.uri = coalesce(a.uri, n.name)")
+def graph_lookup(spark, d):
+    """The record of a name, through an alias where no record goes by it."""
+    return identity.looked_up(B.relation(spark, d, _NAMES), B.relation(spark, d, B.MEDIA).select("uri", "title"), B.relation(spark, d, _ALIAS.format(s="STRING")))
+
+
+@register("graph_targets", """SELECT DISTINCT concat('cust:', CAST(o_custkey AS VARCHAR)) AS src_uri, concat('order:', CAST(o_orderkey AS VARCHAR)) AS dst_uri FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def graph_targets(spark, d):
+    """Customers of a positive balance lead to their orders, one step along edges of one label."""
+    edges = B.relation(spark, d, B.BIPARTITE).select(F.col("dst_uri").alias("src_uri"), F.col("src_uri").alias("dst_uri"), F.lit("has_order").alias("kind"))
+    sources = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 0").select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("uri"))
+    return identity.targets(edges.unionByName(edges.withColumn("kind", F.lit("other"))), sources, "has_order")
+
+
+@register("live_handle_fallback", MEMBERS_SQL + """, req AS (SELECT k, concat('ag:(a:', CAST(k AS VARCHAR), ',part:', CAST(k * 3 AS VARCHAR), ',part:', CAST(k AS VARCHAR), ')') AS aggregated_uri FROM members),
 h AS (SELECT aggregated_uri, concat('part:', CAST(k * 3 AS VARCHAR)) AS uri, CAST(k * 3 AS VARCHAR) AS i FROM req UNION SELECT aggregated_uri, concat('part:', CAST(k AS VARCHAR)), CAST(k AS VARCHAR) FROM req)
 SELECT r.aggregated_uri, (SELECT arg_min(m.component, h.i) FROM h JOIN members m ON m.uri = h.uri WHERE h.aggregated_uri = r.aggregated_uri) AS component FROM req r""")
 def live_handle_fallback(spark, d):
     m = Scratch(spark, "fallback").write(members(spark, d).select("component", "uri", "k"))
     k = F.col("k")
     s = lambda c: c.cast("string")
-    requests = m.where(k % 5 == 0).select(F.concat(F.lit("ag:(a:"), s(k), F.lit(",part:"), s(k * 3), F.lit(",part:"), s(k), F.lit(")")).alias("aggregated_uri"))
+    requests = m.select(F.concat(F.lit("ag:(a:"), s(k), F.lit(",part:"), s(k * 3), F.lit(",part:"), s(k), F.lit(")")).alias("aggregated_uri"))
     return identity.first_live_handle(requests, m)
 
 

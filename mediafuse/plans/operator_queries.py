@@ -34,7 +34,8 @@ def missing_handles_added(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(identity.with_missing_handles(F.array(own), wanted, F.lit("tmdb")), ",").alias("handles"))
 
 
-_EP_EDGES = """SELECT concat('ep:', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS src_uri, concat('ep:', CAST(conv_id + 1 AS STRING), '-', CAST(turn AS STRING)) AS dst_uri FROM {conversations} WHERE length(text) % 16 = 0"""
+#: Three conversations share their episodes.
+_EP_EDGES = """SELECT concat('ep:', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS src_uri, concat('ep:', CAST(conv_id - conv_id % 3 AS STRING), '-', CAST(turn AS STRING)) AS dst_uri FROM {conversations}"""
 
 
 @register("episodes_of_clusters", f"""WITH RECURSIVE {closure(B.text(_EP_EDGES))}, eps AS (SELECT uri, media_uri FROM {B.text(B.EPISODES)} AS x), g AS (SELECT eps.uri, media_uri, coalesce(c.component, eps.uri) AS ec FROM eps LEFT JOIN comp c ON c.uri = eps.uri)
@@ -47,9 +48,9 @@ def episodes_of_clusters(spark, d):
 
 
 @register("episode_lists_fused", f"""SELECT component, episode_number, string_agg(title, '|' ORDER BY -score, uri) AS titles FROM (
-  SELECT concat('g', CAST(conv_id % 10 AS VARCHAR)) AS component, episode_number, title, score, uri, row_number() OVER (PARTITION BY conv_id % 10, episode_number, title ORDER BY -score, uri) AS r FROM {B.text(B.EPISODES)} AS x WHERE episode_number IS NOT NULL) AS y WHERE r = 1 GROUP BY ALL""")
+  SELECT concat('g', CAST(conv_id - conv_id % 3 AS VARCHAR)) AS component, episode_number, title, score, uri, row_number() OVER (PARTITION BY conv_id - conv_id % 3, episode_number, title ORDER BY -score, uri) AS r FROM {B.text(B.EPISODES)} AS x WHERE episode_number IS NOT NULL) AS y WHERE r = 1 GROUP BY ALL""")
 def episode_lists_fused(spark, d):
-    rows = B.relation(spark, d, B.EPISODES).select("uri", "origin", F.concat(F.lit("g"), (F.col("conv_id") % 10).cast("string")).alias("component"), "episode_number", F.col("score").cast("double").alias("score"),
+    rows = B.relation(spark, d, B.EPISODES).select("uri", "origin", F.concat(F.lit("g"), (F.col("conv_id") - F.col("conv_id") % 3).cast("string")).alias("component"), "episode_number", F.col("score").cast("double").alias("score"),
                                                    F.array(F.struct(F.lit("en").alias("language"), "title", F.col("score").cast("double").alias("score"))).alias("titles"))
     return fuse.group_episodes(rows).select("component", "episode_number", F.array_join(F.transform("titles", lambda t: t.title), "|").alias("titles"))
 

@@ -12,15 +12,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mediafuse.operators import fuse
 from mediafuse.operators.components import connected_components
 from mediafuse.operators.identity import linking
 from mediafuse.operators.scratch import Scratch
+from mediafuse.streaming.folding import folded, observed, state_schema
 from mediafuse.streaming.store import Store, Table
 
 #: Kinds of links: between media, between episodes, and from a media to its episodes.
@@ -29,29 +30,6 @@ _LINK = StructType([StructField("src_uri", StringType()), StructField("dst_uri",
 _OF = StructType([StructField("node", StringType()), StructField("component", StringType())])
 
 
-def _is_list(field: StructField) -> bool:
-    return isinstance(field.dataType, ArrayType)
-
-
-def state_schema(record: StructType) -> StructType:
-    """The record's columns (uri first), each with the order of its value: the sequence, for lists after their length."""
-    order = lambda f: StructField(f"_{f.name}", StructType([StructField("n", LongType()), StructField("seq", LongType())]))
-    return StructType([record["uri"], *(g for f in record if f.name != "uri" for g in (f, order(f)))])
-
-
-def observed(rows: DataFrame, record: StructType, seq: str = "seq") -> DataFrame:
-    """Observations in the form of the state: null values have no order, so they never replace any."""
-    def order(f: StructField) -> Column:
-        n = F.size(f.name).cast("long") if _is_list(f) else F.lit(0).cast("long")
-        return F.when(F.col(f.name).isNotNull(), F.struct(n.alias("n"), F.col(seq).cast("long").alias("seq"))).alias(f"_{f.name}")
-    return rows.select("uri", *(c for f in record if f.name != "uri" for c in (F.col(f.name), order(f))))
-
-
-def folded(rows: DataFrame, record: StructType) -> DataFrame:
-    """One row per uri of rows in the form of the state: of each scalar the latest value, of each list the longest, the latest of those."""
-    return rows.groupBy("uri").agg(*(c for f in record if f.name != "uri" for c in (F.max_by(f.name, f"_{f.name}").alias(f.name), F.max(f"_{f.name}").alias(f"_{f.name}"))))
-
-
 @dataclass(frozen=True)
 class Change:
     """What a batch did: links that were new, golden records made or changed, and components that are no cluster any more."""
@@ -68,9 +46,9 @@ class MergingSink:
     def __init__(self, spark: SparkSession, folder: str, media: StructType, episodes: StructType | None = None, buckets: int = 64, after: Callable[[Change], None] | None = None):
         self.spark, self.media, self.episodes, self.after = spark, media, episodes, after
         golden = fuse.fuse_media(self._clustered(spark.createDataFrame([], media), "uri")).schema
-        tables = {"media": Table(state_schema(media), "uri"), "links": Table(_LINK, "src_uri"), "nodes": Table(_OF, "node"), "clusters": Table(_OF, "component"), "golden": Table(golden, "component")}
+        tables = {"media": Table(state_schema(media, "uri"), "uri"), "links": Table(_LINK, "src_uri"), "nodes": Table(_OF, "node"), "clusters": Table(_OF, "component"), "golden": Table(golden, "component")}
         if episodes is not None:
-            tables["episodes"] = Table(state_schema(episodes), "uri")
+            tables["episodes"] = Table(state_schema(episodes, "uri"), "uri")
         self.store = Store(spark, folder, tables, buckets)
 
     @staticmethod
@@ -100,11 +78,11 @@ class MergingSink:
 
     def _upsert(self, version: int, table: str, rows: DataFrame, record: StructType, scratch: Scratch) -> DataFrame | None:
         """Folds rows into the table and returns the uris they are about; None where there are none."""
-        fresh = scratch.write(folded(observed(rows.where("uri is not null"), record), record), table)
+        fresh = scratch.write(folded(observed(rows.where("uri is not null"), record, "uri"), record, "uri"), table)
         own = self.store.touched(fresh, "uri")
         if not own:
             return None
-        self.store.replace(version, table, folded(self.store.read(table, own).unionByName(fresh), record), own)
+        self.store.replace(version, table, folded(self.store.read(table, own).unionByName(fresh), record, "uri"), own)
         return fresh.select("uri")
 
     def _new_links(self, version: int, links: DataFrame, scratch: Scratch) -> DataFrame:

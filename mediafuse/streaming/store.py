@@ -22,9 +22,9 @@ MAX_PARTS = 8
 
 @dataclass(frozen=True)
 class Table:
-    """Rows of ``schema``, dealt into buckets by the hash of the column ``key``."""
+    """Rows of ``schema``, dealt into buckets by the hash of the column ``key``. Without a schema the files' own is read."""
 
-    schema: StructType
+    schema: StructType | None
     key: str
 
 
@@ -94,9 +94,11 @@ class Store:
         return self._files(name, [p for b in buckets for p in held.get(b, [])])
 
     def _files(self, name: str, parts: list[str]) -> DataFrame:
+        schema = self.tables[name].schema
         if not parts:
-            return self.spark.createDataFrame([], self.tables[name].schema)
-        return self.spark.read.schema(self.tables[name].schema).parquet(*(f"{self.folder}/{p}" for p in parts))
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
+        return reader.parquet(*(f"{self.folder}/{p}" for p in parts))
 
     # -- writing
 

@@ -1,7 +1,7 @@
 """Observations as a stream: each micro-batch is folded into a versioned state, and views are re-emitted whole.
 
-The state of batch n is a table of its own, made from that of batch n - 1 and the batch; writing it again
-after a failure gives the same table, so results are exact although batches may be repeated.
+A batch is one version of the state; writing it again after a failure gives the same version, so results are exact
+although batches may be repeated.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from mediafuse.operators.scratch import Scratch
+from mediafuse.streaming import folding
+from mediafuse.streaming.store import Store, Table
+
 
 def observations(spark: SparkSession, schema, folders: list[str], pattern: str = "*", max_files: int = 1000) -> DataFrame:
     """The union of the Parquet files that arrive in the folders; at most ``max_files`` of each make a batch."""
@@ -21,44 +24,30 @@ def observations(spark: SparkSession, schema, folders: list[str], pattern: str =
     return reduce(DataFrame.unionByName, map(read, folders))
 
 
-def _partial(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows with a sequence per column, folded: the latest value of each that is not null."""
-    return rows.groupBy(key).agg(*(f for c in columns for f in (F.max_by(c, f"_{c}").alias(c), F.max(f"_{c}").alias(f"_{c}"))))
-
-
 class FoldedState:
-    """The folded state of a stream in a shared folder, one version per batch; two versions are kept."""
-
-    def __init__(self, spark: SparkSession, folder: str, key: str, seq: str, columns: list[str], after: Callable[[DataFrame, int], None] | None = None):
-        self.spark, self.folder, self.key, self.seq, self.columns, self.after = spark, folder.rstrip("/"), key, seq, columns, after
-
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/version={version:012d}"
-
-    def _exists(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+    """The folded state of a stream in a bucketed store, one version per batch: a batch rewrites the buckets of its own keys."""
 
-    def _versions(self) -> list[int]:
-        fs, where = self._exists(self.folder)
-        if not fs.exists(where):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(where)]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
+    def __init__(self, spark: SparkSession, folder: str, key: str, seq: str, columns: list[str], after: Callable[[DataFrame, int], None] | None = None, buckets: int = 16):
+        self.key, self.seq, self.columns, self.after = key, seq, columns, after
+        self.store = Store(spark, folder, {"state": Table(None, key)}, buckets)
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select(self.key, *(c for c in self.columns), *(F.when(F.col(c).isNotNull(), F.col(self.seq)).alias(f"_{c}") for c in self.columns))
-        older = [v for v in self._versions() if v < batch_id]
-        rows = fresh.unionByName(self.spark.read.parquet(self._path(older[-1]))) if older else fresh
-        _partial(rows, self.key, self.columns).write.mode("overwrite").parquet(self._path(batch_id))
-        for v in older[:-1]:
-            fs, where = self._exists(self._path(v))
-            fs.delete(where, True)
+        """Folds a batch into the state; a batch that the state holds already does nothing."""
+        record = batch.select(self.key, *self.columns).schema
+        self.store.tables["state"] = Table(folding.state_schema(record, self.key), self.key)
+        if batch_id > self.store.version():
+            self.store.begin()
+            scratch = Scratch(batch.sparkSession, f"fold-{batch_id}")
+            fresh = scratch.write(folding.folded(folding.observed(batch, record, self.key, self.seq), record, self.key), "fresh")
+            own = self.store.touched(fresh, self.key)
+            self.store.replace(batch_id, "state", folding.folded(self.store.read("state", own).unionByName(fresh), record, self.key), own)
+            self.store.commit(batch_id)
+            scratch.drop(fresh)
         if self.after:
             self.after(self.current(), batch_id)
 
     def current(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self._versions()[-1])).select(self.key, *self.columns)
+        return self.store.read("state").select(self.key, *self.columns)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """trigger: as of ``DataStreamWriter.trigger``; processingTime bounds the delay, availableNow drains and ends."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mediafuse.operators import fuse, identity
 from mediafuse.operators.fold import upsert_fold
-from mediafuse.streaming import merging
+from mediafuse.streaming import folding
 from mediafuse.streaming.merging import HAS_EPISODE, SAME_EPISODE, SAME_MEDIA, MergingSink
 from mediafuse.streaming.upserts import observations
 
@@ -125,6 +125,6 @@ def test_the_sink_runs_on_a_stream_and_goes_on_after_a_restart(spark, scratch, s
 def test_null_values_have_no_order(spark):
     record = spark.createDataFrame([], "uri string, a long, l array<long>").schema
     rows = spark.createDataFrame([("u", 1, [1, 2], 1), ("u", None, [3], 2), ("u", None, None, 3)], "uri string, a long, l array<long>, seq long")
-    once = merging.folded(merging.observed(rows, record), record)
+    once = folding.folded(folding.observed(rows, record, "uri"), record, "uri")
     assert rows_of(once.select("uri", "a", "l")) == [("u", "1", "[1, 2]")]
-    assert rows_of(merging.folded(once.unionByName(once), record)) == rows_of(once)
+    assert rows_of(folding.folded(once.unionByName(once), record, "uri")) == rows_of(once)
