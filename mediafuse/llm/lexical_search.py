@@ -26,7 +26,7 @@ from mediafuse.operators.scratch import Scratch
 
 NEAREST = 10
 #: Documents of a block (a multiple of 64), and terms of queries that a block indexes at a time.
-BLOCK, TERMS_AT_ONCE = 4096, 2048
+BLOCK, TERMS_AT_ONCE = 4096, 8192
 #: Terms of queries, with repeats, of one pass: 8 bytes each in every task.
 TERMS_A_PASS = 200_000
 #: A query's rows meet in so many parts before they meet as a whole.
@@ -138,7 +138,7 @@ def _groups(queries: list[np.ndarray]) -> list[list[int]]:
     out: list[list[int]] = []
     held = 0
     for i in sorted(range(len(queries)), key=lambda i: -len(queries[i])):
-        if not out or held + len(queries[i]) > TERMS_AT_ONCE * 4:
+        if not out or held + len(queries[i]) > TERMS_AT_ONCE:
             out.append([])
             held = 0
         out[-1].append(i)
