@@ -53,7 +53,7 @@ _ORDINALS = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth"
 _SEASONS = "|".join((
     rf"(?i:{START}(?:(?:season|part|cour)\s*[0-9]{{1,3}}|[0-9]{{1,3}}(?:st|nd|rd|th)\s+(?:season|part|cour)|(?:{_ORDINALS})\s+(?:season|part|cour)){END})",
     r"シーズン(?U:\s*)[0-9]{1,3}", r"第(?U:\s*)[0-9〇零一二三四五六七八九十]{1,4}(?U:\s*)[期季]"))
-#: What a catalogue may leave out of a title, and what then stands in its place, in the order in which it is left out.
+#: What a catalogue may leave out of a title, and what then stands in its place, in the order in which it is left out. Fixed values.
 SHORTENINGS = (
     (rf"(?:^|(?U:\s))([{TITLE_DASHES}])(?U:\s*)[^{TITLE_DASHES}]{{2,}}(?U:\s*)\1(?U:\s*)$", ""),
     (rf"(?U:\s*)(?:{_SEASONS})", " "),
