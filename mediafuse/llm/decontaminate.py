@@ -42,12 +42,16 @@ def _shingles(words: Column, k: int) -> Column:
 
 def fingerprint(words: Column) -> Column:
     """64-bit SimHash: a bit is set where more than half of the words' hashes have it."""
-    ones = lambda b: F.aggregate(words, F.lit(0), lambda n, h: n + F.when(F.getbit(h, b) == 1, 1).otherwise(0))
-    return reduce(lambda x, y: x.bitwiseOR(y), (F.when(2 * ones(F.lit(b)) > F.size(words), F.lit(-(1 << 63) if b == 63 else 1 << b)).otherwise(F.lit(0).cast("long")) for b in range(64)))
+    ones = lambda b: F.aggregate(words, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int"))
+    bit = lambda b: F.when(2 * ones(b) > F.size(words), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
 
 
-def _block(fp: Column, b: int) -> Column:
-    return F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+def _blocks(fp: Column, masks: list[int]) -> Column:
+    """array<struct<block, value>>: the blocks of a fingerprint, each under every mask."""
+    block = lambda b: F.call_function("shiftrightunsigned", fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    flipped = lambda b: F.transform(F.lit(masks), lambda m: F.struct(b.alias("block"), block(b).bitwiseXOR(m).alias("value")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), flipped))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -110,11 +114,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, shingl
     windows = scratch.write(held.withColumn("fp", fingerprint(words)), "windows")
 
     # The index holds numbers of items, and probes those of windows: words are joined back to the pairs that pass.
-    index = items.select("row", "n", F.col("fp").alias("item_fp"), F.explode(F.array(*(
-        F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).bitwiseXOR(F.lit(flip)).alias("value"))
-        for b in range(BLOCKS) for flip in _MASKS))).alias("e")).select("row", "n", "item_fp", "e.block", "e.value")
-    probes = windows.select("doc_id", "k", "start", "n", "fp", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)))).alias("e")).select(
-        "doc_id", "k", "start", "n", "fp", "e.block", "e.value")
+    index = items.select("row", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), _MASKS)).alias("e")).select("row", "n", "item_fp", "e.block", "e.value")
+    probes = windows.select("doc_id", "k", "start", "n", "fp", F.explode(_blocks(F.col("fp"), [0])).alias("e")).select("doc_id", "k", "start", "n", "fp", "e.block", "e.value")
     pairs = probes.join(_sent(scratch.write(index, "index"), 4), ["n", "block", "value"]).where(
         F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "k", "start", "n", "row").distinct()
     pairs = scratch.write(pairs, "pairs")
