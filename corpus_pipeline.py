@@ -13,16 +13,25 @@ from mediafuse.llm.columns import col, free, only
 from mediafuse.llm import decontaminate, language_id, line_dedup, near_dups, packing
 from mediafuse.operators.scratch import Scratch
 
+#: Bytes of texts that go to a Python worker at a time: both sides of the exchange hold a few such batches for each running task.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Ids of dropped documents that are sent to all tasks at most (8 bytes each); more are joined by id.
 BROADCAST_IDS = 1_000_000
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches by BATCH_BYTES, unless it has a bound of its own: texts are long, and workers keep the memory of their largest batch."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: null, empty or blank texts and texts without a letter.
 
     Every stage takes columns of any name beside those of documents, equal rows (each counts), texts of any
     length, which are read whole, and a table without rows, which gives none.
     """
+    _small_batches(spark)
     model = language_id.train(docs.where(~language_id.held_out()))
     (told,) = free(docs, "told")
     return only(language_id.identify(docs, model, names=(told, f"{told}_score")).where(F.col(told) != language_id.UNKNOWN), docs.columns)
@@ -39,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words or without an id stay; of repeated rows all stay where the id is kept.
     """
+    _small_batches(spark)
     scratch, (gone_id,) = Scratch(spark, "pipeline-near-dups"), free(docs, "gone_id")
     gone = near_dups.near_duplicate_groups(docs, scratch).where("not kept and id is not null").select(F.col("id").alias(gone_id)).distinct()
     gone = scratch.write(gone, "gone")
@@ -54,6 +64,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 ids. Null and empty texts are the end id alone."""
+    _small_batches(spark)
     return packing.pack(docs, Scratch(spark, "pipeline-packing"), public_tokenizers.path(packing.TOKENIZER))
 
 
