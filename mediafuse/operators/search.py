@@ -78,7 +78,8 @@ def relevance(media: DataFrame, query: str | Column, titles: str = "titles", key
     if least > 0.5:
         asked, own = text.strip_title(q), text.strip_title(F.col("_t"))
         shared = F.when(F.length(asked) <= 2, F.size(F.array_intersect(_pieces(asked), _letters(own)))).otherwise(F.size(F.array_intersect(_pieces(asked), _pieces(own))))
-        scored = scored.where((asked != "") & (own != "") & (shared >= _least_shared(asked, least)))
+        # Generated rows keep the bound from being pushed below the distinct titles, to every row.
+        scored = scored.select(F.explode(F.array("_t")).alias("_t")).where((asked != "") & (own != "") & (shared >= _least_shared(asked, least)))
     scored = scored.withColumn("s", similarity.search_score(q, F.col("_t")))
     return each.join(scored, F.coalesce("title", F.lit("")) == F.col("_t")).groupBy(key).agg(F.max("s").alias("relevance"))
 
