@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediafuse.operators.spread import spread
 from mediafuse.plans.catalog import register
 from mediafuse.sources.catalogues import CATALOGUES
 
@@ -36,7 +37,7 @@ def _expected(source: str, episodes: bool = False, **columns: str) -> str:
 def answers(name: str, origin: str, kind: str, payload: str, expected: str, table: str = "part", columns: str = "CAST(p_partkey AS STRING) AS media_id", group: str | None = None) -> None:
     """Registers a query that reads answers made by ``payload`` (over ``table``; with ``group``, over the list ``items`` of each group)."""
     def query(spark, d):
-        rows = spark.read.parquet(f"{d}/{table}.parquet")
+        rows = spread(spark.read.parquet(f"{d}/{table}.parquet"))
         if group:
             rows = rows.groupBy(F.expr(group).alias("g")).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("items"))
             made = rows.selectExpr("g", f"CASE WHEN g % 10 = 0 THEN '{{broken' ELSE to_json({payload}) END AS payload")

@@ -130,8 +130,9 @@ def handles(*given: Column) -> Column:
 
 
 def distinct_handles(made: Column) -> Column:
-    at = F.transform(made, lambda h: h.uri)
-    return F.filter(made, lambda h, i: F.array_position(at, h.uri) == i + 1)
+    """The first of the handles of each uri; ``made`` is evaluated once, where a filter by its own places would do so for every handle."""
+    new = lambda so_far, h: h.uri.isNotNull() & ~F.exists(so_far, lambda x: x.uri == h.uri)
+    return F.aggregate(made, F.array().cast(f"array<{HANDLE}>"), lambda so_far, h: F.when(new(so_far, h), F.concat(so_far, F.array(h))).otherwise(so_far))
 
 
 def named(value: Column, names: dict[str, str], otherwise: str | None = None) -> Column:

@@ -28,3 +28,17 @@ def test_titles_that_are_searched_are_aligned_in_several_tasks(spark, scratch):
     asked = names.select(F.col("component").alias("query_id"), F.col("title").alias("query"))
     near = search.candidates(asked, search.title_index(names, scratch), scratch)
     assert near.where("q = t").count() == 64 and near.rdd.getNumPartitions() > 1
+
+
+def test_handles_are_made_once(spark):
+    handle = lambda u: F.struct(u.alias("uri"), F.lit("o").alias("origin"), F.lit("i").alias("id"), F.lit(None).cast("string").alias("url"))
+    made = F.transform(F.array(F.lit("a"), F.lit("b"), F.lit(None), F.lit("a")), handle)
+    rows = spark.range(1).select(records.distinct_handles(made).alias("h"))
+    assert [h.uri for h in rows.first().h] == ["a", "b"]
+    plan = rows.select(records.distinct_handles(F.col("h")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("h#") <= 3
+
+
+def test_answers_and_requests_are_dealt_over_tasks(spark, tmp_path):
+    data = "/root/testdata/sf0.001"
+    assert registry.QUERIES["watchmode_media"](spark, data).rdd.getNumPartitions() > 1
