@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mediafuse.functions import uris
 from mediafuse.operators.components import connected_components, with_component
 from mediafuse.operators.scratch import Scratch
+from mediafuse.operators.spread import spread
 
 #: Origins that identify a show and not a season: a handle of theirs links nothing. Fixed value.
 SHOW_LEVEL = ("imdb",)
@@ -59,7 +60,8 @@ def targets(edges: DataFrame, sources: DataFrame, label: str, column: str = "uri
 
 def first_live_handle(requests: DataFrame, members: DataFrame, aggregated: str = "aggregated_uri") -> DataFrame:
     """requests with ``component``: the cluster of the first handle, in uri order, that has a record."""
-    each = requests.select("*", F.posexplode(uris.handles_of(F.col(aggregated))).alias("_pos", "_handle"))
+    asked = spread(requests.select(aggregated), aggregated)
+    each = asked.select(aggregated, F.posexplode_outer(uris.handles_of(F.col(aggregated))).alias("_pos", "_handle"))
     hit = each.join(members.select(F.col("uri").alias("_handle"), "component"), "_handle")
     first = hit.groupBy(aggregated).agg(F.min_by("component", "_pos").alias("component"))
     return requests.join(first, aggregated, "left")

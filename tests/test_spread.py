@@ -42,3 +42,8 @@ def test_handles_are_made_once(spark):
 def test_answers_and_requests_are_dealt_over_tasks(spark, tmp_path):
     data = "/root/testdata/sf0.001"
     assert registry.QUERIES["watchmode_media"](spark, data).rdd.getNumPartitions() > 1
+    asked = spark.createDataFrame([(f"ag:(a:{i},b:{i})",) for i in range(50)], "aggregated_uri string").coalesce(1)
+    members = asked.select(F.expr("concat('b:', regexp_extract(aggregated_uri, 'b:([0-9]+)', 1))").alias("uri")).withColumn("component", F.col("uri"))
+    found = identity.first_live_handle(asked, members)
+    assert found.count() == 50 and found.where("component is not null").count() == 50
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
