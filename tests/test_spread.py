@@ -30,6 +30,26 @@ def test_titles_that_are_searched_are_aligned_in_several_tasks(spark, scratch):
     assert near.where("q = t").count() == 64 and near.rdd.getNumPartitions() > 1
 
 
+def test_linking_pairs_connect_what_all_pairs_connect(spark, scratch):
+    r = random.Random(5)
+    titles = ["a long road of rings", "a long road of ringz", "a long road of ringzz", "another tale of it", "the third one of all"]
+    rows = [(f"u{i}", f"u{i}", [(r.choice(titles) + r.choice(["", "", " season 2"]), 0.5), (r.choice(titles), 0.1)][: r.randint(1, 2)], f"{2000 + r.randint(0, 40)}-01-01", r.choice(["MOVIE", "TV", "SPECIAL", None]), []) for i in range(160)]
+    members = spark.createDataFrame(rows, "component string, uri string, titles array<struct<title:string,score:double>>, start_date string, type string, categories array<string>")
+    made = fuzzy.profiles(members)
+    every, few = (f(made, scratch) for f in (fuzzy.title_pairs, fuzzy.linking_pairs))
+    parts = lambda pairs: sorted(tuple(x) for x in connected_components(pairs, scratch).collect())
+    assert parts(few) == parts(every) and {tuple(x) for x in few.collect()} <= {tuple(x) for x in every.collect()}
+
+
+def test_links_of_one_title_grow_with_the_components_and_not_their_pairs(spark, scratch):
+    members = spark.range(300).select(F.concat(F.lit("u"), "id").alias("component"), F.concat(F.lit("u"), "id").alias("uri"), F.expr("array(named_struct('title', 'one and the same', 'score', 0.5D))").alias("titles"),
+                                      F.lit("2001-04-01").alias("start_date"), F.lit("TV").alias("type"), F.expr("cast(array() as array<string>)").alias("categories"))
+    root = Scratch(spark, "one-title")
+    merged, linked = fuzzy.merge_step(members, root)
+    assert linked and merged.select("component").distinct().count() == 1
+    assert spark.read.parquet(*glob.glob(f"{root.root.removeprefix('file://')}/*-links")).count() == 299
+
+
 def test_handles_are_made_once(spark):
     handle = lambda u: F.struct(u.alias("uri"), F.lit("o").alias("origin"), F.lit("i").alias("id"), F.lit(None).cast("string").alias("url"))
     made = F.transform(F.array(F.lit("a"), F.lit("b"), F.lit(None), F.lit("a")), handle)
