@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mediafuse.operators.scratch import Scratch
+from mediafuse.operators.spread import spread
 from mediafuse.plans import bindings as B
 from mediafuse.plans.catalog import register
 from mediafuse.plans.fusion_queries import PAGE_SQL, page_columns
@@ -21,9 +23,12 @@ ARRIVALS = 4
 def arriving(rows: DataFrame, arrival: Column, folder: str, start: Callable, n: int = ARRIVALS) -> None:
     """Lets rows arrive in a folder in n parts, each drained by the stream that ``start`` starts on it, from where the one before ended."""
     spark = rows.sparkSession
+    made = Scratch(spark, "arriving")
+    rows = made.write(spread(rows.withColumn("_arrival", arrival)))  # once, not once for each part
+    schema = StructType([f for f in rows.schema if f.name != "_arrival"])
     for i in range(n):
-        rows.where(arrival == i).write.mode("append").parquet(folder)
-        query = start(observations(spark, rows.schema, [folder], "*.parquet"))
+        rows.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(folder)
+        query = start(observations(spark, schema, [folder], "*.parquet"))
         query.awaitTermination()
         if query.exception():
             raise query.exception()
@@ -65,8 +70,6 @@ def media_observations(spark: SparkSession, d: str) -> DataFrame:
 
 def record_of(rows: DataFrame, column: str):
     """The schema of the records in a struct column of observations."""
-    from pyspark.sql.types import StructType
-
     return StructType([f for f in rows.schema[column].dataType if f.name not in ("seq", "handles")])
 
 
@@ -75,7 +78,7 @@ def stream_cluster_page(spark, d):
     """The page of all clusters, kept up to date batch by batch: each fuses only the clusters that it touches."""
     rows = media_observations(spark, d)
     root = Scratch(spark, "cluster-page").root
-    sink = MergingSink(spark, f"{root}/store", record_of(rows, "media"), buckets=8)
+    sink = MergingSink(spark, f"{root}/store", record_of(rows, "media"), buckets=max(8, 2 * spark.sparkContext.defaultParallelism))
     arriving(rows, F.col("arrival"), f"{root}/arrived", lambda s: sink.start(s, f"{root}/checkpoint", availableNow=True))
     return page_columns(sink.view())
 

@@ -105,7 +105,7 @@ class Store:
     def _write(self, name: str, rows: DataFrame, label: str, buckets: int) -> dict[int, str]:
         folder = f"data/{name}/{label}"
         own = self.bucket(F.col(self.tables[name].key))
-        rows.select(*self.tables[name].schema.names, own.alias("bucket")).repartition(max(1, buckets), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/{folder}")
+        rows.select(*self.tables[name].schema.names, own.alias("bucket")).repartitionById(max(1, buckets), F.col("bucket")).write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/{folder}")
         return {int(n.split("=")[1]): f"{folder}/{n}" for n in self._names(f"{self.folder}/{folder}") if n.startswith("bucket=")}
 
     def begin(self) -> None:

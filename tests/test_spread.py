@@ -8,7 +8,7 @@ from mediafuse.functions import similarity
 from mediafuse.operators import fuzzy, identity, search
 from mediafuse.operators.components import connected_components
 from mediafuse.operators.scratch import Scratch
-from mediafuse.plans import registry
+from mediafuse.plans import registry, stream_queries
 from mediafuse.sources import records
 from pyspark.sql import functions as F
 
@@ -91,3 +91,11 @@ def test_answers_and_requests_are_dealt_over_tasks(spark, tmp_path):
     found = identity.first_live_handle(asked, members)
     assert found.count() == 50 and found.where("component is not null").count() == 50
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arriving_rows_are_made_once_for_all_their_parts(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    made = F.udf(lambda x: seen.add(1) or x, "long").asNondeterministic()
+    rows = spark.range(20).select("id", made("id").alias("v"))
+    stream_queries.arriving(rows, F.col("id") % 4, f"{tmp_path}/in", lambda s: s.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start())
+    assert seen.value == 20 and spark.read.parquet(f"{tmp_path}/in").count() == 20
