@@ -1,7 +1,9 @@
 """Work is dealt over tasks, and shared steps are taken once, whatever the number of rows that repeat them."""
 
 import glob
+import os
 import random
+import time
 from itertools import combinations
 
 from mediafuse.functions import similarity
@@ -23,6 +25,25 @@ def test_pairs_of_one_year_come_once_and_from_several_tasks(spark):
     assert pairs.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_pairs_of_one_year_take_little_disk(spark, tmp_path):
+    n = 6000
+    titles = spark.range(n).select(F.concat(F.lit("part:"), (F.col("id") + 100_000).cast("string")).alias("component"), F.lit("t").alias("title"))
+    years = titles.select("component", F.lit(2000).alias("year"))
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.5)
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    before = shuffled()
+    fuzzy.blocking_pairs({"years": years, "titles": titles}).write.parquet(f"{tmp_path}/pairs")
+    moved = shuffled() - before
+    kept = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/pairs/*.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/pairs").where("a < b").count() == n * (n - 1) // 2
+    assert moved < 60 * n and kept < 0.35 * n * (n - 1) / 2, (moved / n, kept / (n * (n - 1) / 2))
+
+
 def aligned_pairs(spark, monkeypatch, make):
     """How many pairs the alignment is given when the table that ``make`` makes is evaluated, and its rows."""
     seen = spark.sparkContext.accumulator(0)
